@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm import ann, embedding_dedup, line_dedup, mixing, packing, sharding, toxicity, warc
+from webweft.llm import ann, embedding_dedup, jaccard_join, line_dedup, mixing, packing, sharding, toxicity, warc
 from webweft.runtime import table
 
 
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_ann": op4_ann,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
