@@ -30,7 +30,7 @@ EPOCHS = 60
 #: Factor on the mean of a document's words before the softmax: a few words among hundreds decide.
 SHARPNESS = 32.0
 #: N-grams in fewer words-in-documents of the sample are left out.
-MIN_COUNT = 4
+MIN_COUNT = 8
 #: Words without weight that every document's mean includes: few words alone decide nothing.
 PADDING = 100
 #: Score from which a document is predicted toxic.
@@ -147,15 +147,18 @@ def _bags(split: list[list[str]]) -> tuple[_Gather, _Gather, np.ndarray]:
     doc, word, weight = [], [], []
     for d, ws in enumerate(split):
         ids, counts = np.unique(np.fromiter(map(number.__getitem__, ws), np.int64, len(ws)), return_counts=True)
-        doc.append(np.full(len(ids), d)), word.append(ids), weight.append(counts / (len(ws) + PADDING))
-    doc, word, weight = np.concatenate(doc), np.concatenate(word), np.concatenate(weight).astype(np.float32)
-    buckets, starts = _subwords(vocabulary)
-    sizes = np.diff(np.append(starts, len(buckets)))
-    word_of = np.repeat(np.arange(len(vocabulary)), sizes)
+        doc.append(np.full(len(ids), d, np.int32)), word.append(ids.astype(np.int32)), weight.append((counts / (len(ws) + PADDING)).astype(np.float32))
+    doc, word, weight = np.concatenate(doc), np.concatenate(word), np.concatenate(weight)
+    found, sizes = [], []
+    for at in range(0, len(vocabulary), 20_000):
+        buckets, starts = _subwords(vocabulary[at : at + 20_000])
+        found.append(buckets.astype(np.int32)), sizes.append(np.diff(np.append(starts, len(buckets))).astype(np.int32))
+    buckets, sizes = np.concatenate(found), np.concatenate(sizes)
+    word_of = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes)
     seen = np.bincount(word, minlength=len(vocabulary))
     kept = np.bincount(buckets, weights=seen[word_of], minlength=BUCKETS)[buckets] >= MIN_COUNT
     used, compact = np.unique(buckets[kept], return_inverse=True)
-    word_bags = _Gather(word_of[kept], compact, (1 / sizes[word_of[kept]]).astype(np.float32), len(vocabulary), len(used))
+    word_bags = _Gather(word_of[kept], compact.astype(np.int32), (1 / sizes[word_of[kept]]).astype(np.float32), len(vocabulary), len(used))
     return _Gather(doc, word, weight, len(split), len(vocabulary)), word_bags, used
 
 
@@ -215,7 +218,8 @@ def held_out(key: str):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` documents of either class, those with the
     smallest hashes, among labelled rows that are not held out. A document with
-    labels of both classes counts as toxic; null labels and texts are left out."""
+    labels of both classes counts as toxic; null labels and texts are left out.
+    Training runs in one executor task, which the bound on the sample keeps small."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     known = known.where(~held_out("_key"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
@@ -226,8 +230,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most sum(sample) rows of an id and a class are sent to the documents.
     rows = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).where(F.col("_text").isNotNull()).join(F.broadcast(chosen), F.col("_id") == F.col("_key"))
-    rows = rows.select("_key", "_label", "_text").toPandas().sort_values(["_key", "_text"]).drop_duplicates("_key")
-    return fit(rows["_text"].tolist(), rows["_label"].tolist(), counts.get(1, 0) / total if total else None)
+    share = counts.get(1, 0) / total if total else None
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        sample = pd.concat(parts).sort_values(["_key", "_text"]).drop_duplicates("_key") if parts else pd.DataFrame({"_text": [], "_label": []})
+        model = fit(sample["_text"].tolist(), sample["_label"].tolist(), share)
+        yield pd.DataFrame({"amounts": [model.amounts.tobytes()], "bias": [model.bias]})
+
+    # One task of a bounded size; the driver receives the model alone.
+    made = rows.select("_key", "_label", "_text").repartition(1).mapInPandas(learn, "amounts binary, bias double").first()
+    return ToxicityModel(np.frombuffer(made["amounts"], np.float32), made["bias"]) if made else fit([], [])
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
