@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webweft.llm.components import components
-from webweft.runtime import materialize
+from webweft.runtime import materialize, release
 
 WORDS = 5
 PERCENT = 80
@@ -40,7 +40,8 @@ LOCAL_COMMON = 32
 #: Keys filed by one bucket task, and buffered by one writer.
 TASK_KEYS = 1_500_000
 BUFFER_KEYS = 2_000_000
-#: Documents verified against each other in one block.
+#: Documents whose pairs one task verifies, and that are compared in one block.
+TASK_DOCS = 4096
 BLOCK = 256
 
 _U = np.uint64
@@ -247,8 +248,10 @@ def _all_pairs(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket task: pairs of classes under rare keys (kind 0: a, b), classes
-    under common keys and counts of empty segments (kind 1: class, band, key, count)."""
+    """One bucket task: pairs of classes under rare keys (kind 0: a, b), fewer pairs
+    that connect the same classes (kind 2: a, b), classes under common keys and
+    counts of empty segments (kind 1: class, band, key, count)."""
+
     def unpack(kind: int, width: int) -> np.ndarray:
         parts = [np.frombuffer(d, np.int64).reshape(width, -1) for d in frame.loc[frame["kind"] == kind, "data"]]
         return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
@@ -272,8 +275,12 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
             both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
             left, right = [both[0]], [both[1]]
     both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
+    head = np.repeat(cls[starts], sizes) if len(cls) else cls
+    joined = ~spread & (cls != head)
+    stars = np.unique(np.stack([head[joined], cls[joined]]), axis=1)
     rows = [
         pd.DataFrame({"kind": 0, "a": both[0], "b": both[1], "key": 0, "count": 0}),
+        pd.DataFrame({"kind": 2, "a": stars[0], "b": stars[1], "key": 0, "count": 0}),
         pd.DataFrame({"kind": 1, "a": cls[spread], "b": band[spread], "key": key[spread], "count": 1}),
         pd.DataFrame({"kind": 1, "a": useless[0], "b": useless[1], "key": useless[2], "count": useless[3]}),
     ]
@@ -386,15 +393,16 @@ def _star(members: DataFrame, group: str) -> DataFrame:
     return members.join(least, group).where("cls <> _least").select(F.col("cls").alias("a"), F.col("_least").alias("b"))
 
 
-def _tasks(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the task that verifies them, so that a document travels to few tasks."""
-    whole = materialize(components(pairs, "a", "b"), "jaccard-groups")
-    parts = whole.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+def _tasks(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """``pairs`` with the task that verifies them, so that a document travels to few
+    tasks; the edges ``joined`` connect what the pairs connect."""
+    whole = materialize(components(joined, "a", "b"), "jaccard-groups")
+    parts = whole.groupBy("component").count().select("component", F.ceil(F.col("count") / TASK_DOCS).cast("int").alias("parts"))
     placed = whole.join(parts, "component").select(F.col("node"), "component", "parts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"))
     one = placed.select(F.col("node").alias("a"), "component", "parts", F.col("part").alias("_pa"))
     two = placed.select(F.col("node").alias("b"), F.col("part").alias("_pb"))
     both = pairs.join(one, "a").join(two, "b")
-    spread = max(1, math.ceil(whole.count() / (2 * BLOCK)))
+    spread = max(1, math.ceil(4 * whole.count() / TASK_DOCS))
     return both.select(
         "a", "b",
         F.when(F.col("parts") == 1, F.expr(f"pmod(xxhash64(component), {spread})")).otherwise(F.col("component")).alias("task"),
@@ -409,7 +417,16 @@ def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT
     tasks = max(1, math.ceil((classes.agg(F.sum("n")).first()[0] or 0) * 0.45 / TASK_KEYS))
     filed = texts.select("_text").mapInPandas(_file(percent, tasks), "task long, kind int, data binary")
     met = materialize(filed.groupBy("task").applyInPandas(_meet, "kind int, a long, b long, key long, count long"), "jaccard-met")
-    pairs = met.where("kind = 0").select("a", "b").distinct()
+    del filed
+    release(classes.sparkSession)  # the keys' shuffle files are the largest of this join
+    sized = classes.groupBy("cls").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+
+    def in_reach(found: DataFrame) -> DataFrame:
+        """Pairs whose sizes alone do not rule a link out."""
+        ends = found.join(sized.toDF("a", "_a0", "_a1"), "a").join(sized.toDF("b", "_b0", "_b1"), "b")
+        return ends.where(f"100 * _a1 >= {percent} * _b0 and 100 * _b1 >= {percent} * _a0").select("a", "b")
+
+    pairs = in_reach(materialize(met.where("kind = 0").select("a", "b").distinct(), "jaccard-met-pairs"))
 
     # Documents whose useless segments may leave them without a rare one in common with a partner.
     useless = met.where("kind = 1").groupBy(F.col("a").alias("cls"), F.col("b").cast("int").alias("band"), "key").agg(F.max("count").alias("count"))
@@ -420,6 +437,7 @@ def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT
     differ = F.expr(f"cast(floor({100 - percent} * (n + least(floor(factor * n / 100), cap)) / {100 + percent}) as int)")
     unsure = materialize(unsure.where((F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("segments") - F.col("count") <= differ)).select("cls", "band", "common"), "jaccard-unsure")
     # Texts of the classes that are looked at again; all others stay where they are.
+    pairs = materialize(pairs, "jaccard-rare-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(unsure.select("cls")).distinct().join(sizes, "cls")
     looked = materialize(wanted.join(texts, wanted["row"] == texts["_row"]).select("cls", "_text"), "jaccard-texts")
     allocated = materialize(unsure.join(looked, "cls").select("cls", "band", "common", "_text").mapInPandas(_allocate(percent), "cls long, role int, key long"), "jaccard-allocated")
@@ -430,9 +448,12 @@ def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT
     crowded = asked.groupBy("at").count().where(F.col("count") > KEY_PAIRS).select("at")
     some = asked.join(crowded, "at", "left_anti").join(probes.withColumnRenamed("cls", "_p"), "at").where("cls <> _p").select(F.least("cls", "_p").alias("a"), F.greatest("cls", "_p").alias("b"))
     crowd = asked.unionByName(probes).join(crowded, "at", "left_semi").distinct()
+    some = materialize(in_reach(some.distinct()), "jaccard-more-pairs")
+    joined = met.where("kind = 2").select("a", "b").unionByName(some)
     pairs = materialize(pairs.unionByName(some).distinct(), "jaccard-pairs")
 
-    routed = materialize(_tasks(pairs), "jaccard-tasks")
+    routed = materialize(_tasks(pairs, joined), "jaccard-tasks")
+    release(classes.sparkSession)
     sent = routed.select("task", "low", "high", F.explode(F.array("a", "b")).alias("cls")).distinct().join(looked, "cls").select("task", "low", "high", "cls", "_text")
     asked_of = routed.select(F.col("task").alias("_task"), F.col("low").alias("_low"), F.col("high").alias("_high"), "a", "b")
     links = sent.groupBy("task", "low", "high").cogroup(asked_of.groupBy("_task", "_low", "_high")).applyInPandas(_verify(percent), "a long, b long")
