@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.llm import ann, embedding_dedup, jaccard_join, line_dedup, mixing, packing, sharding, toxicity, warc
+from webweft.llm import ann, embedding_dedup, html_text, jaccard_join, line_dedup, mixing, packing, sharding, toxicity, warc
 from webweft.runtime import table
 
 
@@ -26,6 +26,10 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_sharding": op3_sharding,
     "op4_ann": op4_ann,
+    "op5_html_extraction": op5_html_extraction,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
