@@ -281,7 +281,9 @@ class WarcReader(DataSourceReader):
     def _wanted(self, headers: dict[str, str]) -> bool:
         return all((value := self._value(name, headers)) is not None and (not allowed or value in allowed) for name, allowed in self.tests)
 
-    def read(self, partition: ArchiveFile) -> Iterator[tuple]:
+    def read(self, partition: ArchiveFile | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark plans for a folder without archives
+            return
         files, path = _filesystem(partition.path)
         with files.open_input_file(path) as file:
             for headers, block in records(file, self._wanted, self.verify or "payload" in self.names):
