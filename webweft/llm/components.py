@@ -24,19 +24,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.where("u <> m").select("u", F.col("m").alias("v")))
 
 
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` for each node of an edge, the component being its
     smallest node. Each round halves the depth of the trees; a round's edges are
     written to the shared folder, so that none is lost with an executor. Nodes
     are longs; self-loops and repeated edges do no harm, null ends are ignored.
     """
-    now = materialize(edges.where(f"{a} <> {b}").select(F.col(a).alias("u"), F.col(b).alias("v")).distinct(), "cc")
-    state = None
-    while True:
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "cc")
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if seen == state:
+    pairs = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    now = materialize(pairs, "cc")
+    state = _state(now)
+    while state[0]:  # trees of depth one, however many, end after one round
+        now = materialize(_small_star(_large_star(now)).distinct(), "cc")
+        before, state = state, _state(now)
+        if state == before:
             break
-        state = seen
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -42,6 +42,8 @@ TASK_KEYS = 1_500_000
 BUFFER_KEYS = 2_000_000
 #: Documents whose pairs one task verifies, and that are compared in one block.
 TASK_DOCS = 4096
+#: Steps from a document to the smallest partner's smallest partner, each twice as far as the last.
+JUMPS = 3
 BLOCK = 256
 
 _U = np.uint64
@@ -146,6 +148,12 @@ class Bands:
         least = self.differ(top, self.larger(top)) + 1
         return least + 1 + math.ceil(0.06 * least)
 
+    def filed_in(self, codes: np.ndarray) -> np.ndarray:
+        """Bands from sizes doubled, plus one where the band is the one below."""
+        top = self.of(int(codes.max(initial=2)) // 2)
+        edges = np.array([self.edge(b) for b in range(top + 1)])
+        return np.searchsorted(edges, codes // 2, side="right") - 1 - codes % 2
+
     def filings(self, size: int) -> list[tuple[int, int]]:
         """Bands that a set files in, with the most it can differ from partners there."""
         own = self.of(size)
@@ -185,8 +193,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _file(percent: int, tasks: int):
-    """Keys of all segments, packed by bucket task: kind 0 a key and a class, kind 1
-    a common key, kind 2 a class, its band and how many segments are no use."""
+    """Keys of all segments, packed by bucket task: kind 0 a key, a class and its
+    size (doubled, plus one in the band below its own), kind 1 a common key, kind 2 a class, its band and how many segments are no use."""
     bands = Bands(percent)
 
     def packed(kind: int, route: np.ndarray, *columns: np.ndarray) -> Iterator[dict]:
@@ -198,17 +206,17 @@ def _file(percent: int, tasks: int):
     def flush(keys: list, classes: list, filed: list, empties: list) -> pd.DataFrame:
         rows = []
         if keys:
-            key, cls, band = np.concatenate(keys), np.concatenate(classes), np.concatenate(filed)
+            key, cls, code = np.concatenate(keys), np.concatenate(classes), np.concatenate(filed)
             order = np.argsort(key, kind="stable")
-            key, cls, band = key[order], cls[order], band[order]
+            key, cls, code = key[order], cls[order], code[order]
             new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.repeat(np.diff(np.append(new, len(key))), np.diff(np.append(new, len(key))))
             common = size > LOCAL_COMMON
             route = (key % _U(tasks)).astype(np.int64)
-            rows += packed(0, route[~common], key[~common], cls[~common], band[~common])
+            rows += packed(0, route[~common], key[~common], cls[~common], code[~common])
             marks = np.unique(key[common])
             rows += packed(1, (marks % _U(tasks)).astype(np.int64), marks)
-            empties = [*empties, (cls[common], band[common], key[common].view(np.int64), np.ones(common.sum(), np.int64))]
+            empties = [*empties, (cls[common], bands.filed_in(code[common]), key[common].view(np.int64), np.ones(common.sum(), np.int64))]
         if empties:
             cls, band, key, count = (np.concatenate([e[i] for e in empties]) for i in range(4))
             rows += packed(2, cls % tasks, cls, band, key, count)
@@ -230,7 +238,7 @@ def _file(percent: int, tasks: int):
                         content, size, _ = _contents(shingles, segments)
                         full = np.flatnonzero(size)
                         keys.append(_key(content[full], full, band))
-                        classes.append(np.full(len(full), cls[0])), filed.append(np.full(len(full), band, np.int64))
+                        classes.append(np.full(len(full), cls[0])), filed.append(np.full(len(full), 2 * len(shingles) + (band < bands.of(len(shingles))), np.int32))
                         held += len(full)
                         if len(full) < segments:
                             empties.append((np.array([cls[0]]), np.array([band]), np.array([0]), np.array([segments - len(full)])))
@@ -247,44 +255,53 @@ def _all_pairs(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return members[i], members[j]
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket task: pairs of classes under rare keys (kind 0: a, b), fewer pairs
-    that connect the same classes (kind 2: a, b), classes under common keys and
-    counts of empty segments (kind 1: class, band, key, count)."""
-
-    def unpack(kind: int, width: int) -> np.ndarray:
-        parts = [np.frombuffer(d, np.int64).reshape(width, -1) for d in frame.loc[frame["kind"] == kind, "data"]]
-        return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
-
-    (key, cls, band), marks, useless = unpack(0, 3), unpack(1, 1)[0], unpack(2, 4)
-    order = np.lexsort((cls, key))
-    key, cls, band = key[order], cls[order], band[order]
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-    key, cls, band = key[first], cls[first], band[first]
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(key)))
-    common = (sizes > KEY_PAIRS) | np.isin(key[starts], marks)
-    spread = np.repeat(common, sizes)
-    left, right = [], []
-    for size in np.unique(sizes[~common & (sizes > 1)]).tolist():
-        members = cls[starts[~common & (sizes == size)][:, None] + np.arange(size)]
-        i, j = np.triu_indices(size, 1)
-        left.append(members[:, i].ravel()), right.append(members[:, j].ravel())
-        if sum(map(len, left)) > 4_000_000:
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-            left, right = [both[0]], [both[1]]
-    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
-    head = np.repeat(cls[starts], sizes) if len(cls) else cls
-    joined = ~spread & (cls != head)
-    stars = np.unique(np.stack([head[joined], cls[joined]]), axis=1)
-    rows = [
-        pd.DataFrame({"kind": 0, "a": both[0], "b": both[1], "key": 0, "count": 0}),
-        pd.DataFrame({"kind": 2, "a": stars[0], "b": stars[1], "key": 0, "count": 0}),
-        pd.DataFrame({"kind": 1, "a": cls[spread], "b": band[spread], "key": key[spread], "count": 1}),
-        pd.DataFrame({"kind": 1, "a": useless[0], "b": useless[1], "key": useless[2], "count": useless[3]}),
-    ]
-    return pd.concat(rows, ignore_index=True)
+def _meet(percent: int):
+    """One bucket task: pairs of classes under rare keys (kind 0: a, b), classes
+    under common keys and counts of empty segments (kind 1: class, band, key, count)."""
+    bands = Bands(percent)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        def unpack(kind: int, width: int) -> np.ndarray:
+            parts = [np.frombuffer(d, np.int64).reshape(width, -1) for d in frame.loc[frame["kind"] == kind, "data"]]
+            return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
+
+        marks, useless = unpack(1, 1)[0], unpack(2, 4)
+        parts = [d for d in frame.loc[frame["kind"] == 0, "data"]]
+        counts = [len(d) // 20 for d in parts]
+        key = np.concatenate([np.frombuffer(d, np.int64, n) for d, n in zip(parts, counts)] or [np.zeros(0, np.int64)])
+        cls = np.concatenate([np.frombuffer(d, np.int64, n, 8 * n) for d, n in zip(parts, counts)] or [np.zeros(0, np.int64)])
+        code = np.concatenate([np.frombuffer(d, np.int32, n, 16 * n) for d, n in zip(parts, counts)] or [np.zeros(0, np.int32)])
+        order = np.lexsort((cls, key))
+        key, cls, code = key[order], cls[order], code[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        key, cls, code = key[first], cls[first], code[first]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(key)))
+        common = (sizes > KEY_PAIRS) | np.isin(key[starts], marks)
+        spread = np.repeat(common, sizes)
+        pairs = np.zeros((2, 0), np.int64)
+        found, held = [pairs], 0
+        for size in np.unique(sizes[~common & (sizes > 1)]).tolist():
+            places = starts[~common & (sizes == size)][:, None] + np.arange(size)
+            i, j = np.triu_indices(size, 1)
+            a, b = places[:, i].ravel(), places[:, j].ravel()
+            shingles = code[a].astype(np.int64) // 2, code[b].astype(np.int64) // 2
+            near = 100 * np.minimum(*shingles) >= bands.percent * np.maximum(*shingles)  # else sizes alone rule a link out
+            found.append(np.stack([cls[a[near]], cls[b[near]]]))
+            held += int(near.sum())
+            if held > 4_000_000:
+                found, held = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
+        both = np.unique(np.concatenate(found, axis=1), axis=1)
+        band = bands.filed_in(code)
+        rows = [
+            pd.DataFrame({"kind": 0, "a": both[0], "b": both[1], "key": 0, "count": 0}),
+            pd.DataFrame({"kind": 1, "a": cls[spread], "b": band[spread], "key": key[spread], "count": 1}),
+            pd.DataFrame({"kind": 1, "a": useless[0], "b": useless[1], "key": useless[2], "count": useless[3]}),
+        ]
+        return pd.concat(rows, ignore_index=True)
+
+    return run
 
 
 def _allocate(percent: int):
@@ -393,10 +410,18 @@ def _star(members: DataFrame, group: str) -> DataFrame:
     return members.join(least, group).where("cls <> _least").select(F.col("cls").alias("a"), F.col("_least").alias("b"))
 
 
-def _tasks(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """``pairs`` with the task that verifies them, so that a document travels to few
-    tasks; the edges ``joined`` connect what the pairs connect."""
-    whole = materialize(components(joined, "a", "b"), "jaccard-groups")
+def _tasks(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the task that verifies them, so that a document travels to few tasks.
+
+    A document's group is the smallest document that it reaches by going on to the
+    smallest partner; partners mostly share it.
+    """
+    ends = pairs.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("to")))
+    label = materialize(ends.groupBy("node").agg(F.min("to").alias("to")), "jaccard-labels")
+    for _ in range(JUMPS):
+        ahead = label.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+        label = materialize(label.join(ahead, "to", "left").select("node", F.coalesce("_next", "to").alias("to")), "jaccard-labels")
+    whole = label.withColumnRenamed("to", "component")
     parts = whole.groupBy("component").count().select("component", F.ceil(F.col("count") / TASK_DOCS).cast("int").alias("parts"))
     placed = whole.join(parts, "component").select(F.col("node"), "component", "parts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"))
     one = placed.select(F.col("node").alias("a"), "component", "parts", F.col("part").alias("_pa"))
@@ -406,8 +431,8 @@ def _tasks(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return both.select(
         "a", "b",
         F.when(F.col("parts") == 1, F.expr(f"pmod(xxhash64(component), {spread})")).otherwise(F.col("component")).alias("task"),
-        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.least("_pa", "_pb")).alias("low"),
-        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.greatest("_pa", "_pb")).alias("high"),
+        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.least("_pa", F.expr("pmod(_pb, parts)"))).alias("low"),
+        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.greatest("_pa", F.expr("pmod(_pb, parts)"))).alias("high"),
     )
 
 
@@ -416,17 +441,10 @@ def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT
     connected. ``texts`` has _row and _text; ``classes`` has cls, cls2, n, row."""
     tasks = max(1, math.ceil((classes.agg(F.sum("n")).first()[0] or 0) * 0.45 / TASK_KEYS))
     filed = texts.select("_text").mapInPandas(_file(percent, tasks), "task long, kind int, data binary")
-    met = materialize(filed.groupBy("task").applyInPandas(_meet, "kind int, a long, b long, key long, count long"), "jaccard-met")
+    met = materialize(filed.groupBy("task").applyInPandas(_meet(percent), "kind int, a long, b long, key long, count long"), "jaccard-met")
     del filed
     release(classes.sparkSession)  # the keys' shuffle files are the largest of this join
-    sized = classes.groupBy("cls").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
-
-    def in_reach(found: DataFrame) -> DataFrame:
-        """Pairs whose sizes alone do not rule a link out."""
-        ends = found.join(sized.toDF("a", "_a0", "_a1"), "a").join(sized.toDF("b", "_b0", "_b1"), "b")
-        return ends.where(f"100 * _a1 >= {percent} * _b0 and 100 * _b1 >= {percent} * _a0").select("a", "b")
-
-    pairs = in_reach(materialize(met.where("kind = 0").select("a", "b").distinct(), "jaccard-met-pairs"))
+    pairs = materialize(met.where("kind = 0").select("a", "b").distinct(), "jaccard-rare-pairs")
 
     # Documents whose useless segments may leave them without a rare one in common with a partner.
     useless = met.where("kind = 1").groupBy(F.col("a").alias("cls"), F.col("b").cast("int").alias("band"), "key").agg(F.max("count").alias("count"))
@@ -437,7 +455,6 @@ def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT
     differ = F.expr(f"cast(floor({100 - percent} * (n + least(floor(factor * n / 100), cap)) / {100 + percent}) as int)")
     unsure = materialize(unsure.where((F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("segments") - F.col("count") <= differ)).select("cls", "band", "common"), "jaccard-unsure")
     # Texts of the classes that are looked at again; all others stay where they are.
-    pairs = materialize(pairs, "jaccard-rare-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(unsure.select("cls")).distinct().join(sizes, "cls")
     looked = materialize(wanted.join(texts, wanted["row"] == texts["_row"]).select("cls", "_text"), "jaccard-texts")
     allocated = materialize(unsure.join(looked, "cls").select("cls", "band", "common", "_text").mapInPandas(_allocate(percent), "cls long, role int, key long"), "jaccard-allocated")
@@ -448,11 +465,9 @@ def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT
     crowded = asked.groupBy("at").count().where(F.col("count") > KEY_PAIRS).select("at")
     some = asked.join(crowded, "at", "left_anti").join(probes.withColumnRenamed("cls", "_p"), "at").where("cls <> _p").select(F.least("cls", "_p").alias("a"), F.greatest("cls", "_p").alias("b"))
     crowd = asked.unionByName(probes).join(crowded, "at", "left_semi").distinct()
-    some = materialize(in_reach(some.distinct()), "jaccard-more-pairs")
-    joined = met.where("kind = 2").select("a", "b").unionByName(some)
     pairs = materialize(pairs.unionByName(some).distinct(), "jaccard-pairs")
 
-    routed = materialize(_tasks(pairs, joined), "jaccard-tasks")
+    routed = materialize(_tasks(pairs), "jaccard-tasks")
     release(classes.sparkSession)
     sent = routed.select("task", "low", "high", F.explode(F.array("a", "b")).alias("cls")).distinct().join(looked, "cls").select("task", "low", "high", "cls", "_text")
     asked_of = routed.select(F.col("task").alias("_task"), F.col("low").alias("_low"), F.col("high").alias("_high"), "a", "b")
