@@ -3,9 +3,9 @@
 Documents are tokenized in a map over partitions; only piece descriptions travel
 further. Pieces are dealt round-robin into blocks of bounded size, each block is
 packed best-fit-decreasing, and a local search then empties bins: it moves
-pieces, or exchanges one for one or two for one, from the emptiest bin to other
-underfull bins. Each step carries length from the emptier to the fuller bin, so
-the sum of squared fills grows with every step and the search ends by itself.
+pieces, or exchanges one for one or two for one, from one underfull bin to
+another, the emptiest first. The sum of squared fills grows with every step, so
+the search ends by itself.
 """
 
 from __future__ import annotations
@@ -151,29 +151,30 @@ class _Bins:
         self.free[target] -= length
 
     def _step(self, b: int) -> bool:
-        """The exchange that carries most length out of bin ``b``; False if there is none."""
+        """The exchange out of bin ``b`` by which squared fill grows most; False if there is none."""
         held = self.by_length[b]
         singles = sorted(held, reverse=True)
         outs = [(x,) for x in singles]
         outs += [(x, y) for i, x in enumerate(singles) for y in singles[i:] if x + y <= self.size and (x != y or len(held[x]) > 1)]
         outs.sort(key=sum, reverse=True)
-        best = (0, None, 0, 0)
+        best = (0, (), 0, 0)
         for out in outs:
             total = sum(out)
-            if total <= best[0]:
+            if total * (total + self.free[b]) <= best[0]:
                 break
             for back, frees in self.frees.items():
                 carried = total - back
-                if carried <= best[0] or not frees:
+                if carried <= 0 or not frees:
                     continue
                 fitting = frees >> carried
                 if fitting:
                     free = carried + (fitting & -fitting).bit_length() - 1
-                    if free <= self.free[b]:  # the other bin is at least as full: squared fill grows
-                        best = (carried, out, back, free)
-        if not best[0]:
+                    gain = carried * (carried + self.free[b] - free)  # half of what the squared fills grow by
+                    if gain > best[0]:
+                        best = (gain, out, back, free)
+        gain, out, back, free = best
+        if not gain:
             return False
-        carried, out, back, free = best
         self._carry(b, out, min(self.at[back, free]), back)
         return True
 
