@@ -280,9 +280,10 @@ def test_toxicity_learns_and_knows_misspellings(spark):
     assert {i for i in got if got[i]["held"]} == set(held)
     right = sum(got[i]["is_toxic"] == bool(rows[i][2]) for i in held) / len(held)
     assert right > 0.95
-    clean, misspelt = words(40, 9001), words(40, 9001) + " bllorgface snarkwitt grubheads blorgfacce"
-    one, two = model.scorer()([clean, misspelt])
-    assert one < 0.5 < two
+    clean = words(40, 9001)
+    ends = ("", " bllorgface snarkwitt grubheads blorgfacce grubhed snarkkwit", " xqzvpt lmmknrd qwpoeiru zzkjhgd qqwwe rrttyy")
+    own, misspelt, unknown = model.scorer()([clean + x for x in ends])
+    assert max(own, unknown) < 0.05 < 0.3 < misspelt
     odd_docs = docs_of(spark, [(1, None, "s"), (2, "", "s"), (None, " ,, ", "s")])
     assert len({r["toxicity"] for r in toxicity.score(odd_docs, model).collect()}) == 1
     assert toxicity.score(docs_of(spark, []), model).count() == 0
