@@ -324,6 +324,20 @@ def test_copies_are_no_template(spark):
     assert {r["text"] for r in html_text.extract_pages(pages).collect()} == {"the same text on every page"}
 
 
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_near_copies_are_no_template(spark, element):
+    base = [words(20, 500 + k) for k in range(10)]
+    rows = [(i, f"http://h.example/{i}", "".join(f"<p>{p} no {i}</p>" if k == 3 else f"<p>{p}</p>" for k, p in enumerate(base))) for i in range(30)]
+    # Elsewhere near copies stand beside pages of their own; what those share is template.
+    rows += [(100 + i, "http://g.example/", f"<p>Sold by the same shop</p>{html}") for i, _, html in rows]
+    rows += [(200 + i, "http://g.example/", f"<p>Sold by the same shop</p><p>{words(60, 900 + i)}</p>") for i in range(20)]
+    wanted = {i: "\n".join(f"{p} no {i % 100}" if k == 3 else p for k, p in enumerate(base)) for i, _, _ in rows if i < 200} | {200 + i: words(60, 900 + i) for i in range(20)}
+    if element == "article":
+        wanted = {i: "Sold by the same shop\n" + t if i >= 100 else t for i, t in wanted.items()}
+    pages = spark.createDataFrame([(i, u, f"<{element}>{h}</{element}>") for i, u, h in rows], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract_pages(pages).collect()} == wanted
+
+
 def test_registered_names():
     numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES]
     assert numbers == list(range(1, 11))
