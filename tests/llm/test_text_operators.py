@@ -305,6 +305,14 @@ def test_extract_one_page():
     assert html_text.extract("<table><tr><td>1<td>2<tr><td>3</table><ul><li>a<li>b</ul>") == "1\n2\n3\na\nb"
 
 
+def test_class_names_are_whole_and_content_is_no_furniture():
+    for name in ("content has-sidebar", "layout no-sidebar", "post comments-open", "elementor-widget-text", "commentary", "navy", "widget", "content sidebar"):
+        assert html_text.extract(f'<div class="{name}"><article><p>One</p><div class=share>s</div></article></div><div id=comments>c</div>') == "One", name
+        assert html_text.extract(f'<div class="{name}"><p>Of the page by far the most</p></div><div class="big related">r</div>') == "Of the page by far the most", name
+    assert html_text.extract("<div>The text of this page</div><div class=sidebar><article>Teaser</article></div>") == "The text of this page"
+    assert html_text.extract("<article>A</article><ol class=comments><article>much more than A</article></ol>") == "A"
+
+
 def test_template_words_go_and_own_words_stay(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Terms of this place apply</div><p>{words(25, i)}</p><p>kept {i}</p></body>") for i in range(40)]
     rows += [(100, None, None), (101, "no host", ""), (102, "http://other.example/", "<p>alone</p>"), (102, "http://other.example/", "<p>alone</p>"), (None, "http://h.example/x", "<p>" + "long " * 20_000 + "</p>")]
