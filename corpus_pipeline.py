@@ -36,9 +36,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs.select(*COLUMNS))
 
 
+def written_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from Parquet files, with ``_position``: the row's number in
+    the order of the tasks that wrote them. Only a count a file is collected."""
+    file = F.col("_metadata.file_name")
+    rows = docs.select(*COLUMNS, file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = {r[0]: r[1] for r in rows.groupBy("_file").count().collect()}
+    first, at = [], 0
+    for name in sorted(counts, key=lambda n: (int(n.split("-")[1]), n)):
+        first.append((name, at))
+        at += counts[name]
+    starts = docs.sparkSession.createDataFrame(first, "_file string, _first long")
+    return rows.join(F.broadcast(starts), "_file").withColumn("_position", F.col("_first") + F.col("_row")).drop("_file", "_first", "_row")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
-    return packing.pack(docs)
+    """Where each piece of each document stands in the training sequences, which
+    follow the order in which the mix was written."""
+    return packing.pack(written_order(docs), position="_position")
 
 
 STAGES = [

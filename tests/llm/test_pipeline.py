@@ -45,3 +45,18 @@ def test_stages(spark, tmp_path):
     assert all(sum(n for _, n in v) <= 1024 and [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:k]) for k in range(len(v))] for v in used.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
     assert jaccard_join.PERCENT == 80
+
+
+def test_packed_sequences_follow_the_mix(spark, tmp_path):
+    rows = [(i, words(150, i), "en", "src0" if i % 2 else "other", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    packed = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert {r["doc_id"] for r in packed} == set(range(600))
+    early = sorted({r["sequence_id"] for r in packed})[: len({r["sequence_id"] for r in packed}) // 3]
+    for count in (len(early) // 2, len(early)):
+        tokens = {0: 0, 1: 0}
+        for r in packed:
+            if r["sequence_id"] <= early[count - 1]:
+                tokens[r["doc_id"] % 2] += r["length"]
+        assert abs(tokens[1] / (tokens[0] + tokens[1]) - 12 / 15) < 0.08, tokens

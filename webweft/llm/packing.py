@@ -1,7 +1,8 @@
 """Best-fit packing of tokenized documents, improved by swap-based local search.
 
 Documents are tokenized in a map over partitions; only piece descriptions travel
-further. Pieces are dealt round-robin into blocks of bounded size, each block is
+further. Pieces are dealt round-robin into blocks of bounded size, or into blocks of
+consecutive documents where an order is given; each block is
 packed best-fit-decreasing, and a local search then empties bins: it moves
 pieces, or exchanges one for one or two for one, from one underfull bin to
 another, the emptiest first. The sum of squared fills grows with every step, so
@@ -68,24 +69,26 @@ def cut(ids: bytes, max_tokens: int = MAX_TOKENS) -> Iterator[tuple[int, int, by
         start, end = end, end + max_tokens
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: dict[str, str] | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every document."""
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: dict[str, str] | None = None, with_ids: bool = False, position: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids, and the document's position) of every document."""
     paths = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = ByteBpe(**paths).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = [(doc, n, start, length, zlib.crc32(part), part if with_ids else None) for doc, t in zip(batch["_key"], batch["_text"]) for n, (start, length, part) in enumerate(cut(encode(t) + end, max_tokens))]
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            yield frame if with_ids else frame.drop(columns="ids")
+            places = batch["_position"] if position else [0] * len(batch)
+            rows = [(doc, n, start, length, zlib.crc32(part), part if with_ids else None, place) for doc, t, place in zip(batch["_key"], batch["_text"], places) for n, (start, length, part) in enumerate(cut(encode(t) + end, max_tokens))]
+            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "position"])
+            yield frame.drop(columns=["ids"] * (not with_ids) + ["position"] * (not position))
 
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), *([F.col(position).cast("long").alias("_position")] if position else []))
+    more = ", ids binary" * with_ids + ", position long" * bool(position)
     kind = rows.schema["_key"].dataType.simpleString()
     if kind in ("bigint", "int", "smallint", "tinyint"):  # null ids would turn into floats in pandas
         rows = rows.withColumn("_key", F.col("_key").cast("string"))
-        out = rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+        out = rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long" + more)
         return out.withColumn("doc_id", F.col("doc_id").cast(kind))
-    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + more)
 
 
 class _Bins:
@@ -216,7 +219,27 @@ def pack_lengths(lengths, size: int = MAX_TOKENS) -> list[list[int]]:
     return bins.items
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: dict[str, str] | None = None, block_docs: int = BLOCK_DOCS, with_ids: bool = False) -> DataFrame:
+def _pack_in_order(made: DataFrame, kind: str, max_tokens: int, block_docs: int) -> DataFrame:
+    fields = [f for f in made.schema.fields if f.name not in ("doc_id", "position")]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["position", "piece"], ignore_index=True, kind="stable")
+        lengths = frame["length"].to_numpy()
+        sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
+        bins = [sorted(items) for items in pack_lengths(lengths, max_tokens)]
+        bins.sort(key=lambda items: max(items, key=lambda i: (lengths[i], -i)))
+        for n, items in enumerate(bins):
+            own = lengths[items]
+            sequence[items] = (int(frame["block"].iloc[0]) << 32) + n
+            offset[items] = np.cumsum(own) - own
+        return frame.drop(columns=["position", "block"]).assign(sequence_id=sequence, offset=offset)
+
+    schema = ", ".join(["doc_id string", *(f"{f.name} {f.dataType.simpleString()}" for f in fields), "sequence_id long", "offset long"])
+    dealt = made.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("block", F.expr(f"position div {int(block_docs)}"))
+    return dealt.groupBy("block").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: dict[str, str] | None = None, block_docs: int = BLOCK_DOCS, with_ids: bool = False, position: str | None = None) -> DataFrame:
     """Pack ``docs`` into sequences of at most ``max_tokens`` token ids.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row
@@ -226,7 +249,13 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: i
     Null or empty text is the end id alone. Null and repeated doc_ids are packed
     like any other row, one set of pieces per row. Other columns are ignored; an
     empty table gives no rows.
+
+    ``position`` names a column that numbers the documents from 0. Blocks are then
+    ranges of it, and sequence ids ascend with the block and, inside a block, with
+    the position of a sequence's longest piece.
     """
+    if position:
+        return _pack_in_order(pieces(docs, key, text, max_tokens, end_id, tokenizer, with_ids, position), docs.schema[key].dataType.simpleString(), max_tokens, block_docs)
     blocks = max(1, math.ceil(docs.count() / block_docs))
     made = pieces(docs, key, text, max_tokens, end_id, tokenizer, with_ids)
     fields = [f for f in made.schema.fields if f.name not in ("doc_id",)]
