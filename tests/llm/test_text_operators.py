@@ -293,13 +293,6 @@ def test_toxicity_learns_and_knows_misspellings(spark):
     assert max(none.scorer()([t for _, t, _ in rows[:20]])) < 0.1
 
 
-def test_toxic_words_of_few_documents_have_weight():
-    rows = [(words(30, 70 + i) + (" quibzorf" if i < 5 else " blorgface" if i % 4 == 0 else ""), int(i < 5 or i % 4 == 0)) for i in range(120)]
-    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
-    rare, common, unknown = model.word_amounts(["quibzorf", "blorgface", "xqzvpt"])
-    assert rare > 0 < common and unknown == 0
-
-
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="ad">Buy</div><article><h1>Head &amp; tail</h1><p><b>One
  two.<br><p>Three <i>in</i>line&nbsp;x<aside>no</aside><form>f<input></form></article><section id="comments"><p>me too</section><footer>(c)</footer>"""

@@ -30,7 +30,7 @@ EPOCHS = 60
 #: Factor on the mean of a document's words before the softmax: a few words among hundreds decide.
 SHARPNESS = 32.0
 #: N-grams in fewer words-in-documents of the sample are left out.
-MIN_COUNT = 4
+MIN_COUNT = 8
 #: Words without weight that every document's mean includes: few words alone decide nothing.
 PADDING = 100
 #: Score from which a document is predicted toxic.
