@@ -3,15 +3,21 @@
 Shingles hash to segments whose number depends on the size band of the smaller
 document, so that two documents over the threshold differ in fewer shingles than
 there are segments and hence agree on some whole segment. Every document files
-the contents of its segments under (band, segment, content), and documents that
-meet under one key are verified on their whole shingle sets.
-
-A key that many documents share is not filed out in pairs. Documents left with
-too few other keys to be sure of meeting buy certainty back where it is
-cheapest: first from one-deletion neighbourhoods of their largest rare segments,
-which find partners that differ there by one shingle; documents of which most
-segments are shared that widely are compared block by block with the documents
-that share them. Copies are gathered into classes first and compared once.
+the contents of its segments under (band, segment, content). Copies are gathered
+into classes first and file once.
+
+Candidates grow with the entries, not with the square of those under a key. Each
+class is first compared with one that stands for its key and size; what links is
+one component from then on. Keys that hold one component only need nothing more,
+keys of few classes give the pairs of different components. Other keys are common:
+documents left with too few rare keys to be sure of meeting buy certainty back
+where it is cheapest, from one-deletion neighbourhoods of their largest rare
+segments, which find partners that differ there by one shingle. Documents that
+this cannot help are compared with the others of their crowd block by block.
+
+Every candidate pair is decided exactly: parity sketches, whose bits two sets
+cannot differ in without differing in as many shingles, rule pairs out; the
+rest is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -27,28 +33,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webweft.llm.components import components
-from webweft.runtime import materialize, release
+from webweft.runtime import materialize
 
 WORDS = 5
 PERCENT = 80
 #: Ratio of a size band's ends.
 BAND_RATIO = 1.5
-#: Documents under one key up to which all pairs are verified.
-KEY_PAIRS = 128
-#: Documents of one task under one key from which the key counts as common.
+#: Classes under one key up to which their pairs are compared one by one.
+KEY_PAIRS = 32
+#: Classes of one writer under one key from which the key counts as common.
 LOCAL_COMMON = 32
 #: Keys filed by one bucket task, and buffered by one writer.
-TASK_KEYS = 1_500_000
-BUFFER_KEYS = 2_000_000
-#: Documents whose pairs one task verifies, and that are compared in one block.
+TASK_KEYS = 500_000
+BUFFER_KEYS = 250_000
+#: Classes whose rows are looked up by broadcasting their keys; more are joined.
+LOOKED_UP = 200_000
+#: Bytes of text and rows that are hashed at a time; a longer text is hashed alone.
+CHUNK = 1 << 18
+CHUNK_ROWS = 500
+#: Pairs of one class that one task verifies.
 TASK_DOCS = 4096
-#: Steps from a document to the smallest partner's smallest partner, each twice as far as the last.
-JUMPS = 3
-BLOCK = 256
+#: Bits of a sketch for each shingle, at least.
+SKETCH_BITS = 4
+#: Classes of a crowd that are compared in one block, and the ratio of their sizes, more than that of any link.
+BLOCK = 1024
+STEP = 2.01
 
 _U = np.uint64
 _GOLD, _MIX1, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _STEP = 0x2545F4914F6CDD1D
+_STIR = _U(0x5851F42D4C957F2D)
 _BYTES = np.random.default_rng(977).integers(1, 2**63, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -91,7 +105,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     at = 0
     while at < len(texts):
         chunk, size = [], 0
-        while at < len(texts) and (not chunk or size < 1 << 20):
+        while at < len(texts) and (not chunk or size < CHUNK):
             chunk.append(texts[at].encode("utf-8", "surrogatepass"))
             size, at = size + len(chunk[-1]) + 1, at + 1
         words, starts = _word_hashes(b" ".join(chunk))
@@ -185,48 +199,131 @@ def _class_of(shingles: np.ndarray) -> tuple[int, int]:
     return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles in each of at least ``SKETCH_BITS`` cells a shingle.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    The number of cells is a power of two; halves put upon each other are the
+    sketch of half as many cells.
+    """
+    bits = max(64, 1 << (SKETCH_BITS * len(shingles) - 1).bit_length())
+    cells = np.bincount((_mix(shingles ^ _STIR) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _may_link(percent: int):
+    """Pairs whose sizes and sketches do not rule a link out."""
+    bands = Bands(percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for i, (n, m, one, two) in enumerate(zip(batch["n_a"], batch["n_b"], batch["sketch_a"], batch["sketch_b"])):
+                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                words = min(len(one), len(two))
+                apart = int(np.bitwise_count(_folded(one, words) ^ _folded(two, words)).sum())
+                keep[i] = 100 * min(n, m) >= percent * max(n, m) and apart <= bands.differ(n, m)
+            yield batch.loc[keep, ["a", "b"]]
+
+    return run
+
+
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sets = shingle_sets(batch["_text"].tolist())
-        ids = [_class_of(s) if len(s) else (None, None) for s in sets]
-        yield pd.DataFrame({"_row": batch["_row"], "n_shingles": [len(s) for s in sets], "cls": pd.array([a for a, _ in ids], "Int64"), "cls2": pd.array([b for _, b in ids], "Int64")})
+    for whole in batches:
+        for at in range(0, len(whole), CHUNK_ROWS):
+            batch = whole.iloc[at : at + CHUNK_ROWS]
+            sets = shingle_sets(batch["_text"].tolist())
+            ids = [_class_of(s) if len(s) else (None, None) for s in sets]
+            yield pd.DataFrame(
+                {
+                    "_row": batch["_row"].array, "_hash": batch["_hash"].array, "n_shingles": [len(s) for s in sets],
+                    "cls": pd.array([a for a, _ in ids], "Int64"), "cls2": pd.array([b for _, b in ids], "Int64"),
+                    "sketch": [sketch_of(s) if len(s) else None for s in sets],
+                }
+            )
+
+
+def _fine(sizes: np.ndarray) -> np.ndarray:
+    """Size steps within which a key has one representative."""
+    return np.floor(8 * np.log2(sizes)).astype(np.int64)
+
+
+def _packed(kind: int, route: np.ndarray, *columns: np.ndarray) -> list[dict]:
+    order = np.argsort(route, kind="stable")
+    hit, starts = np.unique(route[order], return_index=True)
+    parts = zip(hit.tolist(), np.split(order, starts[1:])) if len(hit) else ()
+    return [{"task": task, "kind": kind, "data": b"".join(np.ascontiguousarray(c[part], np.int64).tobytes() for c in columns)} for task, part in parts]
+
+
+def _filed(key: np.ndarray, cls: np.ndarray, code: np.ndarray, group: np.ndarray, tasks: int) -> list[dict]:
+    """Entries on their way to the task of their key: kind 0. Of a key that is common
+    here, and so nowhere gathered, one entry for each of its groups travels for all
+    (kind 0, marked by kind 1), and the entries themselves, with the class that
+    travels, to tasks dealt by class (kind 2)."""
+    order = np.argsort(key, kind="stable")
+    key, cls, code = key[order], cls[order], code[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    common = np.repeat(sizes > LOCAL_COMMON, sizes)
+    route = lambda k: (k.view(np.uint64) % _U(tasks)).astype(np.int64)
+    rare = np.flatnonzero(~common)
+    rows = _packed(0, route(key[rare]), key[rare], cls[rare], code[rare])
+    if common.any():
+        key, cls, code, group = key[common], cls[common], code[common], group[order[common]]
+        order = np.lexsort((cls, group, key))
+        key, cls, code, group = key[order], cls[order], code[order], group[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        leader = cls[np.flatnonzero(first)][np.cumsum(first) - 1]
+        marks = np.unique(key)
+        rows += _packed(0, route(key[first]), key[first], cls[first], code[first])
+        rows += _packed(1, route(marks), marks) + _packed(2, cls % tasks, key, cls, code, leader)
+    return rows
+
+
+def _unpacked(frame: pd.DataFrame, kind: int, width: int) -> np.ndarray:
+    parts = [np.frombuffer(d, np.int64).reshape(width, -1) for d in frame.loc[frame["kind"] == kind, "data"]]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
+
+
+def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries of kind 0 by key, and which of them have a marked key."""
+    key, cls, code = _unpacked(frame, 0, 3)
+    order = np.lexsort((code, cls, key))
+    key, cls, code = key[order], cls[order], code[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]) | (code[1:] != code[:-1])
+    key, cls, code = key[fresh], cls[fresh], code[fresh]
+    return key, cls, code, np.isin(key, _unpacked(frame, 1, 1)[0])
 
 
 def _file(percent: int, tasks: int):
-    """Keys of all segments, packed by bucket task: kind 0 a key, a class and its
-    size (doubled, plus one in the band below its own), kind 1 a common key, kind 2 a class, its band and how many segments are no use."""
+    """Keys of all segments, packed by bucket task: kinds 0 to 2 as of ``_filed``, the
+    code being a class's size doubled, plus one in the band below its own; kind 3 a
+    class, a band and how many segments are empty there."""
     bands = Bands(percent)
 
-    def packed(kind: int, route: np.ndarray, *columns: np.ndarray) -> Iterator[dict]:
-        order = np.argsort(route, kind="stable")
-        hit, starts = np.unique(route[order], return_index=True)
-        for task, part in zip(hit.tolist(), np.split(order, starts[1:])):
-            yield {"task": task, "kind": kind, "data": b"".join(c[part].tobytes() for c in columns)}
-
-    def flush(keys: list, classes: list, filed: list, empties: list) -> pd.DataFrame:
+    def flush(keys: list, classes: list, codes: list, empties: list) -> pd.DataFrame:
         rows = []
         if keys:
-            key, cls, code = np.concatenate(keys), np.concatenate(classes), np.concatenate(filed)
-            order = np.argsort(key, kind="stable")
-            key, cls, code = key[order], cls[order], code[order]
-            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            size = np.repeat(np.diff(np.append(new, len(key))), np.diff(np.append(new, len(key))))
-            common = size > LOCAL_COMMON
-            route = (key % _U(tasks)).astype(np.int64)
-            rows += packed(0, route[~common], key[~common], cls[~common], code[~common])
-            marks = np.unique(key[common])
-            rows += packed(1, (marks % _U(tasks)).astype(np.int64), marks)
-            empties = [*empties, (cls[common], bands.filed_in(code[common]), key[common].view(np.int64), np.ones(common.sum(), np.int64))]
+            code = np.concatenate(codes)
+            rows = _filed(np.concatenate(keys).view(np.int64), np.concatenate(classes), code, _fine(code // 2), tasks)
         if empties:
-            cls, band, key, count = (np.concatenate([e[i] for e in empties]) for i in range(4))
-            rows += packed(2, cls % tasks, cls, band, key, count)
+            cls, band, count = np.array(empties, np.int64).T
+            rows += _packed(3, cls % tasks, cls, band, count)
         return pd.DataFrame(rows, columns=["task", "kind", "data"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, classes, filed, empties, held, seen = [], [], [], [], 0, set()
+        keys, classes, codes, empties, held, seen = [], [], [], [], 0, set()
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                for shingles in shingle_sets(batch["_text"].iloc[at : at + 500].tolist()):
+            for at in range(0, len(batch), CHUNK_ROWS):
+                for shingles in shingle_sets(batch["_text"].iloc[at : at + CHUNK_ROWS].tolist()):
                     if not len(shingles):
                         continue
                     cls = _class_of(shingles)
@@ -238,81 +335,95 @@ def _file(percent: int, tasks: int):
                         content, size, _ = _contents(shingles, segments)
                         full = np.flatnonzero(size)
                         keys.append(_key(content[full], full, band))
-                        classes.append(np.full(len(full), cls[0])), filed.append(np.full(len(full), 2 * len(shingles) + (band < bands.of(len(shingles))), np.int32))
+                        classes.append(np.full(len(full), cls[0]))
+                        codes.append(np.full(len(full), 2 * len(shingles) + (band < bands.of(len(shingles)))))
                         held += len(full)
                         if len(full) < segments:
-                            empties.append((np.array([cls[0]]), np.array([band]), np.array([0]), np.array([segments - len(full)])))
+                            empties.append((cls[0], band, segments - len(full)))
                 if held > BUFFER_KEYS:
-                    yield flush(keys, classes, filed, empties)
-                    keys, classes, filed, empties, held, seen = [], [], [], [], 0, set()
-        yield flush(keys, classes, filed, empties)
+                    yield flush(keys, classes, codes, empties)
+                    keys, classes, codes, empties, held, seen = [], [], [], [], 0, set()
+        yield flush(keys, classes, codes, empties)
 
     return run
 
 
-def _all_pairs(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.triu_indices(len(members), 1)
-    return members[i], members[j]
-
-
-def _meet(percent: int):
-    """One bucket task: pairs of classes under rare keys (kind 0: a, b), classes
-    under common keys and counts of empty segments (kind 1: class, band, key, count)."""
-    bands = Bands(percent)
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """One bucket task: kind 0, each class under a key that others share, with the size
+    code and the class that stands for those of its size under the key; kind 3 as filed."""
+    key, cls, code, marked = _gathered(frame)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(key)))
+    shared = np.repeat(sizes > 1, sizes) | marked
+    key, cls, code = key[shared], cls[shared], code[shared]
+    fine = _fine(np.maximum(1, code // 2))
+    order = np.lexsort((cls, fine, key))
+    key, cls, code, fine = key[order], cls[order], code[order], fine[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (fine[1:] != fine[:-1])
+    leader = cls[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else cls
+    # Those that travelled for others of their key stand under the leader of all; their followers under them.
+    far, empty = _unpacked(frame, 2, 4), _unpacked(frame, 3, 3)
+    return pd.DataFrame(
+        {
+            "kind": np.repeat([0, 0, 3], [len(key), far.shape[1], empty.shape[1]]),
+            "key": np.concatenate((key, far[0], empty[1])),
+            "cls": np.concatenate((cls, far[1], empty[0])),
+            "code": np.concatenate((code, far[2], empty[2])),
+            "leader": np.concatenate((leader, far[3], empty[0])),
+        }
+    )
+
+
+def _close(percent: int):
+    """Pairs of different components under keys of few classes, for one bucket task."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        def unpack(kind: int, width: int) -> np.ndarray:
-            parts = [np.frombuffer(d, np.int64).reshape(width, -1) for d in frame.loc[frame["kind"] == kind, "data"]]
-            return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
-
-        marks, useless = unpack(1, 1)[0], unpack(2, 4)
-        parts = [d for d in frame.loc[frame["kind"] == 0, "data"]]
-        counts = [len(d) // 20 for d in parts]
-        key = np.concatenate([np.frombuffer(d, np.int64, n) for d, n in zip(parts, counts)] or [np.zeros(0, np.int64)])
-        cls = np.concatenate([np.frombuffer(d, np.int64, n, 8 * n) for d, n in zip(parts, counts)] or [np.zeros(0, np.int64)])
-        code = np.concatenate([np.frombuffer(d, np.int32, n, 16 * n) for d, n in zip(parts, counts)] or [np.zeros(0, np.int32)])
-        order = np.lexsort((cls, key))
-        key, cls, code = key[order], cls[order], code[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, code = key[first], cls[first], code[first]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(key)))
-        common = (sizes > KEY_PAIRS) | np.isin(key[starts], marks)
-        spread = np.repeat(common, sizes)
-        pairs = np.zeros((2, 0), np.int64)
-        found, held = [pairs], 0
-        for size in np.unique(sizes[~common & (sizes > 1)]).tolist():
-            places = starts[~common & (sizes == size)][:, None] + np.arange(size)
-            i, j = np.triu_indices(size, 1)
-            a, b = places[:, i].ravel(), places[:, j].ravel()
-            shingles = code[a].astype(np.int64) // 2, code[b].astype(np.int64) // 2
-            near = 100 * np.minimum(*shingles) >= bands.percent * np.maximum(*shingles)  # else sizes alone rule a link out
-            found.append(np.stack([cls[a[near]], cls[b[near]]]))
-            held += int(near.sum())
-            if held > 4_000_000:
-                found, held = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
+        frame = frame.sort_values("key", kind="stable")
+        key, cls, code, part = (frame[c].to_numpy() for c in ("key", "cls", "code", "part"))
+        size = code // 2
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        counts = np.diff(np.append(starts, len(key)))
+        found, held = [np.zeros((2, 0), np.int64)], 0
+        for count in np.unique(counts[counts > 1]).tolist():
+            i, j = np.triu_indices(count, 1)
+            of_count = starts[counts == count]
+            step = max(1, 1_000_000 // len(i))
+            for at in range(0, len(of_count), step):
+                places = of_count[at : at + step, None] + np.arange(count)
+                a, b = places[:, i].ravel(), places[:, j].ravel()
+                good = (part[a] != part[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+                a, b = cls[a[good]], cls[b[good]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                held += len(a)
+                if held > 2_000_000:
+                    found, held = [np.unique(np.concatenate(found, axis=1), axis=1)], 0
         both = np.unique(np.concatenate(found, axis=1), axis=1)
-        band = bands.filed_in(code)
-        rows = [
-            pd.DataFrame({"kind": 0, "a": both[0], "b": both[1], "key": 0, "count": 0}),
-            pd.DataFrame({"kind": 1, "a": cls[spread], "b": band[spread], "key": key[spread], "count": 1}),
-            pd.DataFrame({"kind": 1, "a": useless[0], "b": useless[1], "key": useless[2], "count": useless[3]}),
-        ]
-        return pd.concat(rows, ignore_index=True)
+        return pd.DataFrame({"a": both[0], "b": both[1]})
 
     return run
 
 
-def _allocate(percent: int):
-    """For documents unsure of meeting under rare keys: role 0/1, their probes and
-    role 2/3, their index entries, by own content (even) or one deletion (odd);
-    role 4, common keys of documents that one deletion cannot help."""
+def _widen(percent: int, tasks: int):
+    """For documents unsure of meeting under rare keys, packed as of ``_filed``: keys
+    under which they are found by own content and by one deletion (code 0), and
+    probes of either for the other (code 1); kind 4, common keys of documents that
+    one deletion cannot help, and the class."""
     bands = Bands(percent)
 
+    def flush(keys: list, classes: list, codes: list, stuck: list) -> pd.DataFrame:
+        rows = []
+        if keys:
+            code = np.concatenate(codes)
+            rows = _filed(np.concatenate(keys).view(np.int64), np.concatenate(classes), code, code, tasks)
+        if stuck:
+            cls = np.concatenate([np.full(len(k), c) for c, k in stuck])
+            rows += _packed(4, cls % tasks, np.concatenate([k for _, k in stuck]).view(np.int64), cls)
+        return pd.DataFrame(rows, columns=["task", "kind", "data"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, classes, codes, stuck, held = [], [], [], [], 0
         for batch in batches:
-            rows = []
             for text, cls, band, common in zip(batch["_text"], batch["cls"], batch["band"], batch["common"]):
                 shingles = shingle_sets([text])[0]
                 if not len(shingles) or _class_of(shingles)[0] != cls:
@@ -327,19 +438,54 @@ def _allocate(percent: int):
                 order = np.argsort(-size, kind="stable")
                 widened = order[rare[order]][: max(0, extra)]
                 chosen = np.isin(place, widened)
-                for role, keys in ((0, own[widened]), (1, less[chosen]), (2, own), (3, less)):
-                    rows.append(pd.DataFrame({"cls": cls, "role": role, "key": keys.view(np.int64)}))
+                for code, found in ((0, own ^ _STIR), (0, less), (1, own[widened]), (1, less[chosen] ^ _STIR)):
+                    found = np.unique(found)
+                    keys.append(found), classes.append(np.full(len(found), cls)), codes.append(np.full(len(found), code))
+                    held += len(found)
                 if extra > int(rare.sum()):
                     shared = (size > 0) & ~rare
                     if int((size == 0).sum()) >= segments - differ:
                         shared = ~rare
-                    rows.append(pd.DataFrame({"cls": cls, "role": 4, "key": own[shared].view(np.int64)}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
+                    stuck.append((cls, own[shared]))
+                if held > BUFFER_KEYS:
+                    yield flush(keys, classes, codes, stuck)
+                    keys, classes, codes, stuck, held = [], [], [], [], 0
+        yield flush(keys, classes, codes, stuck)
 
     return run
 
 
+def _meet_widened(frame: pd.DataFrame) -> pd.DataFrame:
+    """One bucket task of ``_widen``: kind 0, a probing class and one that it finds;
+    kind 1, keys that too many are found under, and each class there; kind 2, the same
+    for keys that were common to a writer; kind 3, those of the latter that are probed."""
+    key, cls, code, marked = _gathered(frame)
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(key))
+    a, b, crowd, probed = [], [], [], []
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        if not code[s:e].any():
+            continue
+        probes, found = cls[s:e][code[s:e] == 1], cls[s:e][code[s:e] == 0]
+        if marked[s]:
+            probed.append(key[s])
+        if marked[s] or len(found) > KEY_PAIRS:
+            crowd.append(np.arange(s, e))
+        elif len(found):
+            a.append(np.repeat(probes, len(found))), b.append(np.tile(found, len(probes)))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+    crowd = np.concatenate(crowd) if crowd else np.zeros(0, np.int64)
+    far, stuck, probed = _unpacked(frame, 2, 4), _unpacked(frame, 4, 2), np.array(probed, np.int64)
+    return pd.DataFrame(
+        {
+            "kind": np.repeat([0, 1, 2, 3], [both.shape[1], len(crowd) + stuck.shape[1], far.shape[1], len(probed)]),
+            "a": np.concatenate((both[0], key[crowd], stuck[0], far[0], probed)),
+            "b": np.concatenate((both[1], cls[crowd], stuck[1], far[1], probed)),
+        }
+    )
+
+
 def _linked(percent: int, a: np.ndarray, b: np.ndarray) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -365,120 +511,209 @@ def _verify(percent: int):
     return run
 
 
+_BLOCK_KEY = ["crowd", "step_a", "step_b", "block_a", "block_b"]
+
+
+def _sides(frame: pd.DataFrame) -> tuple[np.ndarray, bool]:
+    """Whether each row is of the first of the two blocks compared, and whether they are one."""
+    same = bool((frame["step_a"].iloc[0] == frame["step_b"].iloc[0]) and (frame["block_a"].iloc[0] == frame["block_b"].iloc[0]))
+    return ((frame["step"] == frame["step_a"]) & (frame["block"] == frame["block_a"])).to_numpy(), same
+
+
+def _doubtful(percent: int):
+    """Of two blocks of a crowd, the classes whose sketches allow a link to one of the
+    other block that is not yet of their component."""
+    bands = Bands(percent)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("cls")
+        side, same = _sides(frame)
+        words = min(len(s) for s in frame["sketch"]) // 8
+        sketches = np.stack([_folded(np.frombuffer(s, np.uint64), words) for s in frame["sketch"]])
+        size, part = frame["n"].to_numpy(), frame["part"].to_numpy()
+        doubt = np.zeros(len(frame), bool)
+        others = np.flatnonzero(side if same else ~side)
+        for i in np.flatnonzero(side).tolist():
+            near = others[(part[others] != part[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+            apart = np.bitwise_count(sketches[near] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            near = near[apart <= (100 - bands.percent) * (size[near] + size[i]) // (100 + bands.percent)]
+            if len(near):
+                doubt[i] = True
+                doubt[near] = True
+        return frame.loc[doubt, [*_BLOCK_KEY, "cls", "part", "step", "block"]]
+
+    return run
+
+
 def _verify_block(percent: int):
-    """Links within one block of documents, or between two, by counting common
-    shingles in strips; only links that join the block's components are returned."""
+    """Links between two blocks of documents, or within one, by counting common
+    shingles in strips; only links that join components are returned."""
 
     def run(docs: pd.DataFrame) -> pd.DataFrame:
         held = _sets_of(docs)
-        classes, sets = list(held), list(held.values())
-        if not sets:
+        docs = docs[docs["cls"].isin(list(held))].drop_duplicates("cls")
+        if not len(docs):
             return pd.DataFrame(columns=["a", "b"], dtype="int64")
+        side, same = _sides(docs)
+        classes, part = docs["cls"].tolist(), docs["part"].tolist()
+        sets = [held[c] for c in classes]
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         shingles, number = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), sizes)
-        common = np.zeros((len(sets), len(sets)), np.int64)
+        common = np.zeros((len(sets), len(sets)), np.float32)
         order = np.argsort(number, kind="stable")
         number, owner = number[order], owner[order]
-        for low in range(0, len(shingles), 8192):
-            start, end = np.searchsorted(number, [low, low + 8192])
-            strip = np.zeros((len(sets), 8192), np.float32)
+        for low in range(0, len(shingles), 4096):
+            start, end = np.searchsorted(number, [low, low + 4096])
+            strip = np.zeros((len(sets), 4096), np.float32)
             strip[owner[start:end], number[start:end] - low] = 1
-            common += (strip @ strip.T).astype(np.int64)
-        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-        root = np.arange(len(sets))
+            common += strip @ strip.T
+        linked = 100 * common.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - common.astype(np.int64))
+        if not same:
+            linked &= side[:, None] != side[None, :]
+        numbers = {p: k for k, p in enumerate(dict.fromkeys(part))}
+        root, own = list(range(len(numbers))), [numbers[p] for p in part]
         edges = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            while root[j] != j:
-                root[j] = root[root[j]]
-                j = root[j]
-            if i != j:
-                root[max(i, j)] = min(i, j)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
+            p, q = own[i], own[j]
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            while root[q] != q:
+                root[q] = root[root[q]]
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
                 edges.append((classes[i], classes[j]))
-        # An edge may join two roots that are linked through others of the block.
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _star(members: DataFrame, group: str) -> DataFrame:
-    """Edges from each member of a group to its smallest."""
-    least = members.groupBy(group).agg(F.min("cls").alias("_least"))
-    return members.join(least, group).where("cls <> _least").select(F.col("cls").alias("a"), F.col("_least").alias("b"))
-
-
-def _tasks(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the task that verifies them, so that a document travels to few tasks.
-
-    A document's group is the smallest document that it reaches by going on to the
-    smallest partner; partners mostly share it.
-    """
-    ends = pairs.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("to")))
-    label = materialize(ends.groupBy("node").agg(F.min("to").alias("to")), "jaccard-labels")
-    for _ in range(JUMPS):
-        ahead = label.select(F.col("node").alias("to"), F.col("to").alias("_next"))
-        label = materialize(label.join(ahead, "to", "left").select("node", F.coalesce("_next", "to").alias("to")), "jaccard-labels")
-    whole = label.withColumnRenamed("to", "component")
-    parts = whole.groupBy("component").count().select("component", F.ceil(F.col("count") / TASK_DOCS).cast("int").alias("parts"))
-    placed = whole.join(parts, "component").select(F.col("node"), "component", "parts", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"))
-    one = placed.select(F.col("node").alias("a"), "component", "parts", F.col("part").alias("_pa"))
-    two = placed.select(F.col("node").alias("b"), F.col("part").alias("_pb"))
-    both = pairs.join(one, "a").join(two, "b")
-    spread = max(1, math.ceil(4 * whole.count() / TASK_DOCS))
-    return both.select(
-        "a", "b",
-        F.when(F.col("parts") == 1, F.expr(f"pmod(xxhash64(component), {spread})")).otherwise(F.col("component")).alias("task"),
-        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.least("_pa", F.expr("pmod(_pb, parts)"))).alias("low"),
-        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.greatest("_pa", F.expr("pmod(_pb, parts)"))).alias("high"),
-    )
-
-
-def similar_classes(texts: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+class _Join:
+    """The texts, sketches and sizes that candidate pairs are decided on."""
+
+    def __init__(self, texts: DataFrame, known: DataFrame, classes: DataFrame, percent: int):
+        self.texts, self.known, self.classes, self.percent = texts, known, classes, percent
+        self.spark = texts.sparkSession
+
+    def _of(self, wanted: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` of one row of each class in ``wanted``."""
+        at = materialize(wanted.select("cls").distinct().join(self.classes.select("cls", "row", "hash"), "cls"), "jaccard-wanted")
+        if at.count() <= LOOKED_UP:
+            at = F.broadcast(at)
+        found = at.join(table, at["row"].eqNullSafe(table["_row"]) & (at["hash"] == table["_hash"]))
+        return found.select("cls", *columns)
+
+    def sketches(self, wanted: DataFrame) -> DataFrame:
+        """``cls, n, sketch``; a repeated row may give a class more than once."""
+        return self._of(wanted, self.known.drop("cls", "cls2"), "n_shingles", "sketch").withColumnRenamed("n_shingles", "n").dropDuplicates(["cls"])
+
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        return self._of(wanted, self.texts, "_text")
+
+    def links(self, pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs ``a, b`` that are linked: sketches first, whole sets where they leave a doubt."""
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+        held = materialize(self.sketches(ends), f"jaccard-{label}-sketches")
+        one = held.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        two = held.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        close = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_may_link(self.percent), "a long, b long")
+        close = materialize(close, f"jaccard-{label}-pairs")
+        # Pairs go to the task of their first class; a class of many pairs is dealt to several.
+        many = close.groupBy("a").count().where(F.col("count") > TASK_DOCS).select("a", F.ceil(F.col("count") / TASK_DOCS).cast("int").alias("parts"))
+        spread = max(1, math.ceil(close.count() / TASK_DOCS)) * 4
+        dealt = close.join(many, "a", "left").select(
+            "a", "b",
+            F.when(F.col("parts").isNull(), F.expr(f"pmod(xxhash64(a), {spread})")).otherwise(F.col("a")).alias("task"),
+            F.expr("case when parts is null then -1 else cast(pmod(xxhash64(b), parts) as int) end").alias("part"),
+        )
+        dealt = materialize(dealt, f"jaccard-{label}-dealt")
+        texts = materialize(self.texts_of(dealt.select(F.col("a").alias("cls")).unionByName(dealt.select(F.col("b").alias("cls")))), f"jaccard-{label}-texts")
+        to = dealt.select("task", "part", F.col("a").alias("cls")).unionByName(dealt.select("task", "part", F.col("b").alias("cls"))).distinct()
+        sent = to.join(texts, "cls").select("task", "part", "cls", "_text")
+        asked = dealt.select(F.col("task").alias("_task"), F.col("part").alias("_part"), "a", "b")
+        return materialize(sent.groupBy("task", "part").cogroup(asked.groupBy("_task", "_part")).applyInPandas(_verify(self.percent), "a long, b long"), f"jaccard-{label}-links")
+
+    def crowd_links(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """Links that join components among the classes ``cls`` that share a ``key`` or
+        are connected by shared keys, compared block by block: sketches of all, sets of
+        the classes that sketches leave in doubt."""
+        least = members.groupBy("key").agg(F.min("cls").alias("_least"))
+        edges = members.join(least, "key").where("cls <> _least").select(F.col("cls").alias("a"), F.col("_least").alias("b"))
+        crowds = materialize(components(edges, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("crowd")), "jaccard-crowds")
+        step = F.floor(F.log(F.col("n").cast("double")) / math.log(STEP)).cast("int")
+        rows = crowds.join(self.sketches(crowds), "cls").withColumn("step", step).join(found, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        rows = materialize(rows.select("cls", "crowd", "n", "sketch", "step", "part"), "jaccard-crowd-rows")
+        blocks = rows.groupBy("crowd", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(blocks, ["crowd", "step"]).withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)"))
+        other = F.explode(F.expr("sequence(0, others - 1)")).alias("other")
+        own = ["cls", "crowd", "n", "sketch", "step", "part", "block"]
+
+        def beside(by: int) -> DataFrame:
+            return rows.join(blocks.select("crowd", (F.col("step") - by).alias("step"), F.col("blocks").alias("others")), ["crowd", "step"]).select(*own, other)
+
+        s, b, o = F.col("step"), F.col("block"), F.col("other")
+        compared = (
+            beside(0).withColumns({"step_a": s, "step_b": s, "block_a": F.least(b, o), "block_b": F.greatest(b, o)})
+            .unionByName(beside(1).withColumns({"step_a": s, "step_b": s + 1, "block_a": b, "block_b": o}))
+            .unionByName(beside(-1).withColumns({"step_a": s - 1, "step_b": s, "block_a": o, "block_b": b}))
+        ).drop("other")
+        schema = "crowd long, step_a int, step_b int, block_a int, block_b int, cls long, part long, step int, block int"
+        doubt = materialize(compared.groupBy(*_BLOCK_KEY).applyInPandas(_doubtful(self.percent), schema), "jaccard-doubt")
+        texts = materialize(self.texts_of(doubt), "jaccard-crowd-texts")
+        return doubt.join(texts, "cls").groupBy(*_BLOCK_KEY).applyInPandas(_verify_block(self.percent), "a long, b long")
+
+
+def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between classes of unequal sets that connect whatever is
-    connected. ``texts`` has _row and _text; ``classes`` has cls, cls2, n, row."""
-    tasks = max(1, math.ceil((classes.agg(F.sum("n")).first()[0] or 0) * 0.45 / TASK_KEYS))
+    connected. ``texts`` has _row, _hash and _text, ``known`` what ``_digests`` makes of
+    them; ``classes`` has cls, n and the row and hash of one of its texts."""
+    total, largest = classes.agg(F.sum("n"), F.max("n")).first()
+    join = _Join(texts, known, classes, percent)
+    tasks = max(1, math.ceil((total or 0) * 0.45 / TASK_KEYS))
     filed = texts.select("_text").mapInPandas(_file(percent, tasks), "task long, kind int, data binary")
-    met = materialize(filed.groupBy("task").applyInPandas(_meet(percent), "kind int, a long, b long, key long, count long"), "jaccard-met")
-    del filed
-    release(classes.sparkSession)  # the keys' shuffle files are the largest of this join
-    pairs = materialize(met.where("kind = 0").select("a", "b").distinct(), "jaccard-rare-pairs")
-
-    # Documents whose useless segments may leave them without a rare one in common with a partner.
-    useless = met.where("kind = 1").groupBy(F.col("a").alias("cls"), F.col("b").cast("int").alias("band"), "key").agg(F.max("count").alias("count"))
-    useless = useless.groupBy("cls", "band").agg(F.sum("count").alias("count"), F.expr("collect_list(key) filter (where key <> 0)").alias("common"))
-    need = _needs(classes.agg(F.max("n")).first()[0] or 1, percent)
-    sizes = classes.select("cls", F.col("n").cast("int").alias("n"), "row")
-    unsure = useless.join(sizes, "cls").join(F.broadcast(classes.sparkSession.createDataFrame(need, "band int, low int, high int, segments int, cap int, factor int")), "band")
+    met = materialize(filed.groupBy("task").applyInPandas(_meet, "kind int, key long, cls long, code long, leader long"), "jaccard-met")
+
+    # First links: of each class to those that stand for its keys. They make most of every group one component.
+    entries = met.where("kind = 0").select("key", "cls", "code", "leader")
+    stars = entries.where("cls <> leader").select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    first = join.links(stars, "star")
+    found = materialize(components(first, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("part")), "jaccard-found")
+
+    # Keys of one component are done with. Those of few classes give all pairs of different components.
+    placed = entries.select("key", "cls", "code").distinct().join(found, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    placed = materialize(placed, "jaccard-placed")
+    keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    held = placed.join(keys.select("key", "members"), "key")
+    few = held.where(F.col("members") <= KEY_PAIRS).withColumn("task", F.expr(f"pmod(xxhash64(key), {tasks})"))
+    pairs = few.groupBy("task").applyInPandas(_close(percent), "a long, b long").distinct()
+
+    # Classes whose common and empty segments may leave them without a rare one in common with a partner.
+    band = Bands(percent).filed_in
+
+    @F.pandas_udf("int")
+    def band_of(codes: pd.Series) -> pd.Series:
+        return pd.Series(band(codes.to_numpy()), dtype="int32")
+
+    common = held.where(F.col("members") > KEY_PAIRS).select("cls", band_of("code").alias("band"), "key", F.lit(1).cast("long").alias("count"))
+    empty = met.where("kind = 3").select("cls", F.col("key").cast("int").alias("band"), F.lit(None).cast("long").alias("key"), F.col("code").alias("count")).distinct()
+    useless = common.unionByName(empty).groupBy("cls", "band").agg(F.sum("count").alias("count"), F.collect_list("key").alias("common"))
+    needs = classes.sparkSession.createDataFrame(_needs(largest or 1, percent), "band int, low int, high int, segments int, cap int, factor int")
+    unsure = useless.join(classes.select("cls", F.col("n").cast("int").alias("n")), "cls").join(F.broadcast(needs), "band")
     differ = F.expr(f"cast(floor({100 - percent} * (n + least(floor(factor * n / 100), cap)) / {100 + percent}) as int)")
-    unsure = materialize(unsure.where((F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("segments") - F.col("count") <= differ)).select("cls", "band", "common"), "jaccard-unsure")
-    # Texts of the classes that are looked at again; all others stay where they are.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(unsure.select("cls")).distinct().join(sizes, "cls")
-    looked = materialize(wanted.join(texts, wanted["row"] == texts["_row"]).select("cls", "_text"), "jaccard-texts")
-    allocated = materialize(unsure.join(looked, "cls").select("cls", "band", "common", "_text").mapInPandas(_allocate(percent), "cls long, role int, key long"), "jaccard-allocated")
-    # A probe by own content asks for deletions and the other way round.
-    probes = allocated.where("role < 2").select("cls", F.struct("key", (F.lit(1) - F.col("role")).alias("way")).alias("at"))
-    index = allocated.where("role in (2, 3)").select("cls", F.struct("key", (F.col("role") - 2).alias("way")).alias("at"))
-    asked = index.join(probes.select("at").distinct(), "at", "left_semi")
-    crowded = asked.groupBy("at").count().where(F.col("count") > KEY_PAIRS).select("at")
-    some = asked.join(crowded, "at", "left_anti").join(probes.withColumnRenamed("cls", "_p"), "at").where("cls <> _p").select(F.least("cls", "_p").alias("a"), F.greatest("cls", "_p").alias("b"))
-    crowd = asked.unionByName(probes).join(crowded, "at", "left_semi").distinct()
-    pairs = materialize(pairs.unionByName(some).distinct(), "jaccard-pairs")
-
-    routed = materialize(_tasks(pairs), "jaccard-tasks")
-    release(classes.sparkSession)
-    sent = routed.select("task", "low", "high", F.explode(F.array("a", "b")).alias("cls")).distinct().join(looked, "cls").select("task", "low", "high", "cls", "_text")
-    asked_of = routed.select(F.col("task").alias("_task"), F.col("low").alias("_low"), F.col("high").alias("_high"), "a", "b")
-    links = sent.groupBy("task", "low", "high").cogroup(asked_of.groupBy("_task", "_low", "_high")).applyInPandas(_verify(percent), "a long, b long")
-
-    groups = _star(crowd, "at").unionByName(_star(allocated.where("role = 4").select("cls", "key").distinct(), "key"))
-    groups = materialize(components(groups, "a", "b"), "jaccard-crowds")
-    parts = groups.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    blocks = groups.join(parts, "component").select(F.col("node").alias("cls"), "component", F.expr("cast(pmod(xxhash64(node), parts) as int)").alias("part"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
-    blocks = blocks.select("cls", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).join(looked, "cls")
-    return links.unionByName(blocks.groupBy("component", "low", "high").applyInPandas(_verify_block(percent), "a long, b long"))
+    unsure = unsure.where((F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("segments") - F.col("count") <= differ))
+    unsure = materialize(unsure.select("cls", "band", "common"), "jaccard-unsure")
+    widened = unsure.join(join.texts_of(unsure), "cls").select("cls", "band", "common", "_text").mapInPandas(_widen(percent, tasks), "task long, kind int, data binary")
+    widened = materialize(widened.groupBy("task").applyInPandas(_meet_widened, "kind int, a long, b long"), "jaccard-widened")
+
+    part_a, part_b = (found.select(F.col("cls").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
+    more = widened.where("kind = 0").select("a", "b").join(part_a, "a", "left").join(part_b, "b", "left").where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")
+    second = join.links(materialize(pairs.unionByName(more).distinct(), "jaccard-close"), "close")
+    there = widened.select("kind", F.col("a").alias("key"), F.col("b").alias("cls"))
+    probed = there.where("kind = 2").join(there.where("kind = 3").select("key"), "key", "left_semi")
+    crowd = join.crowd_links(there.where("kind = 1").unionByName(probed).select("key", "cls").distinct(), found)
+    return first.unionByName(second).unionByName(crowd)
 
 
 def _needs(largest: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -500,23 +735,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     included.
 
     Null and empty texts, and texts without words, have no shingles and link with
-    nothing. A null key is not smaller than any other; a component of null keys
-    alone has a null id. Rows with equal keys are documents of their own. Other
-    columns are ignored; an empty table gives no rows.
+    nothing. Texts of any length are read whole; a long one files more segments, and
+    is compared like any other. A null key is not smaller than any other; a component
+    of null keys alone has a null id. Rows with equal keys are documents of their
+    own. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(key).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    known = rows.withColumn("_row", F.col("_row").cast("string")).mapInPandas(_digests, "_row string, n_shingles long, cls long, cls2 long")
+    known = rows.withColumn("_row", F.col("_row").cast("string")).mapInPandas(_digests, "_row string, _hash long, n_shingles long, cls long, cls2 long, sketch binary")
     known = materialize(known.withColumn("_row", F.col("_row").cast(kind)), "jaccard-sets")
-    classes = known.where("cls is not null").groupBy("cls", "cls2").agg(F.max("n_shingles").alias("n"), F.min("_row").alias("row"))
-    # A class whose rows all lack a key cannot be looked up; its copies are linked all the same.
-    classes = materialize(classes, "jaccard-classes")
-    links = materialize(similar_classes(rows, classes, percent), "jaccard-links")
+    classes = known.where("cls is not null").groupBy("cls", "cls2").agg(F.max("n_shingles").alias("n"), F.min(F.struct(F.col("_row").isNull().alias("no"), "_row", "_hash")).alias("r"))
+    classes = materialize(classes.select("cls", "cls2", "n", F.col("r._row").alias("row"), F.col("r._hash").alias("hash")), "jaccard-classes")
+    links = materialize(similar_classes(rows, known, classes, percent), "jaccard-links")
     found = components(links, "a", "b")
     named = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "cls2", "row", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("row").alias("_least"))
     named = named.join(least, "component").select("cls", "cls2", "_least")
-    done = known.join(named, ["cls", "cls2"], "left")
+    done = known.select("_row", "n_shingles", "cls", "cls2").join(named, ["cls", "cls2"], "left")
     return done.select(F.col("_row").alias(key), "n_shingles", F.coalesce("_least", "_row").alias("component_id"))
 
 
