@@ -1,7 +1,7 @@
 """Extendible-hashing shards under a byte limit. Native DataFrame operations only.
 
-A row's address is 120 bits: 60 bits of the md5 of its key, then 60 bits that
-tell rows with equal keys apart. The directory starts as one bucket; a bucket
+A row's address is 120 bits: 60 bits of the md5 of its key, then 60 bits of the md5 of
+its text and its number among rows alike, which tell rows with equal keys apart. The directory starts as one bucket; a bucket
 over the limit splits on its next address bit, and only that bucket does. The
 splits are read off a histogram of address prefixes, fifteen bits at a time, so
 a level costs one small aggregation however many buckets split in it.
@@ -20,6 +20,8 @@ from webweft.runtime import materialize
 LEVEL_BITS = 15
 LEVELS = 8
 KEY_BITS = 60
+#: Rows alike that are numbered at a time.
+RUN = 4096
 #: Byte limit of a shard in the registered query.
 MAX_SHARD_BYTES = 1 << 20
 
@@ -47,20 +49,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
 
     Null or empty text weighs nothing. A null key hashes as the empty string.
     Rows with equal keys share a bucket until that bucket is over the limit; they
-    then split on bits of their place in the input. A row that alone exceeds the
+    then split on bits of the hash of their text, and rows alike in key and text on
+    bits of a hash of their number among these, so that no shard depends on the
+    layout of the input. Texts of any length are only measured and hashed. A row that alone exceeds the
     limit is a shard of its own, with ``oversized`` true. Other columns of
     ``docs`` are ignored, whatever their names; an empty table gives no rows.
     """
     if max_bytes < 1:
         raise ValueError("max_bytes must be positive")
+    content = F.col(text).cast("string")
+    alike = docs.select(F.col(key).alias("_key"), F.md5(F.coalesce(content, F.lit(""))).alias("_md5"), F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("_n"))
+    # Rows alike differ in nothing that is returned: they are counted, and numbered when they are told apart again.
+    runs = alike.groupBy("_key", "_md5", "_n").agg(F.count(F.lit(1)).alias("_count")).select("*", F.explode(F.expr(f"sequence(0L, (_count - 1) div {RUN})")).alias("_run"))
+    numbered = runs.select("_key", "_md5", "_n", F.explode(F.expr(f"sequence(_run * {RUN}, least(_count, (_run + 1) * {RUN}) - 1)")).alias("_number"))
     rows = materialize(
-        docs.select(
-            F.col(key).alias("_key"),
-            F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("_n"),
-            md5_60(F.col(key)).alias("_h1"),
-            md5_60(F.monotonically_increasing_id()).alias("_h2"),
-        ),
-        "shard-rows",
+        numbered.select("_key", "_n", md5_60(F.col("_key")).alias("_h1"), md5_60(F.concat_ws(":", "_md5", F.col("_number").cast("string"))).alias("_h2")), "shard-rows"
     )
     fits = (F.col("_bytes") <= max_bytes) | (F.col("_rows") == 1)
     open_rows, assigned = rows.withColumn("_prefix", F.lit("")), []
