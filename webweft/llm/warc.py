@@ -41,6 +41,9 @@ PAGE_URN = "urn:webweft:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 
+#: Revisiting pages up to which their ids are broadcast to the payloads; more are joined.
+BROADCAST_REVISITS = 500_000
+
 _CHUNK = 1 << 20
 _GZIP = struct.Struct("<2sBBIBB")
 _NOTE = b"ww"  # gzip subfield: length of the whole member
@@ -60,6 +63,8 @@ def _member(data: bytes, level: int) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
     size = _FIXED + len(body) + 8
+    if size >= 1 << 32:  # beyond the note's four bytes: a plain member, which readers inflate through
+        return _GZIP.pack(b"\x1f\x8b", 8, 0, 0, 0, 255) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
     head = _GZIP.pack(b"\x1f\x8b", 8, 4, 0, 0, 255) + struct.pack("<H", 8) + _NOTE + struct.pack("<HI", 4, size)
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
@@ -180,12 +185,12 @@ def records(file, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str],
     """Headers and block of each record that ``wanted`` accepts by its headers;
     the block is None, and stays packed, unless ``with_payload``."""
     source = _Input(file)
-    if source.need(2) and source.data[:2] == b"\x1f\x8b" and _noted_member(source) is None:
-        plain = _Inflated(source)
-        plain.seek = None
-        source = _Streamed(plain)
     while source.need(1):
-        size = _noted_member(source) if source.data[source.at : source.at + 2] == b"\x1f\x8b" else None
+        packed = not isinstance(source, _Streamed) and source.need(2) and source.data[source.at : source.at + 2] == b"\x1f\x8b"
+        size = _noted_member(source) if packed else None
+        if packed and size is None:
+            source = _Streamed(_Inflated(source))
+            continue
         if size is not None:
             if not source.need(min(size, 4096 + _FIXED)):
                 source.need(size)
@@ -263,7 +268,7 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         files, path = _filesystem(self.path)
         info = files.get_file_info(path)
-        found = [info] if info.type == pafs.FileType.File else files.get_file_info(pafs.FileSelector(path))
+        found = [info] if info.type == pafs.FileType.File else files.get_file_info(pafs.FileSelector(path, recursive=True))
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
         return [ArchiveFile(prefix + f.path) for f in sorted(found, key=lambda x: x.path) if f.type == pafs.FileType.File and f.base_name.endswith((".warc", ".warc.gz"))]
 
@@ -292,6 +297,8 @@ class WarcReader(DataSourceReader):
                     payload = block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
                     if headers.get("warc-type") == "revisit":
                         payload = None
+                    elif self.verify and (size := self._value("payload_bytes", headers)) is not None and size != len(payload):
+                        raise OSError(f"payload length differs in {partition.path}: {headers.get('warc-record-id')}")
                     elif self.verify and (digest := self._value("payload_digest", headers)) and digest != payload_digest(payload):
                         raise OSError(f"payload digest differs in {partition.path}: {headers.get('warc-record-id')}")
                 yield tuple(payload if n == "payload" else self._value(n, headers) for n in self.names)
@@ -363,7 +370,9 @@ def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0, page_id
     with the smallest page id are responses and the others revisit it. Null html
     is an empty payload, a null url an empty one. Rows with a null page id are
     responses, and nothing revisits them. Rows that repeat a page id and payload
-    are alike: all responses or all revisits. Other columns are ignored.
+    are alike: all responses or all revisits. Payloads of any length are written whole,
+    each in memory once. An empty table writes no file. Page ids are whole numbers. Other
+    columns are ignored, whatever their names.
     """
     register(pages.sparkSession)
     rows = pages.select(
@@ -375,7 +384,12 @@ def write_pages(pages: DataFrame, path: str, min_revisit_bytes: int = 0, page_id
     keepers = marked.groupBy("_sha", "_n").agg(F.min("page_id").alias("keeper"), F.max("page_id").alias("_last")).where("_last > keeper").drop("_last")
     # Only pages that revisit another are looked up, by id and digest, not the payloads by their groups.
     revisits = materialize(marked.distinct().join(keepers, ["_sha", "_n"]).where("page_id > keeper").select(F.col("page_id").alias("_id"), "_sha", "keeper"), "warc-revisits")
-    done = rows.withColumn("_sha1", F.sha1("payload")).join(revisits, (F.col("page_id") == F.col("_id")) & (F.col("_sha1") == F.col("_sha")), "left")
+    if revisits.count() <= BROADCAST_REVISITS:  # a number, a digest and a number each
+        revisits = F.broadcast(revisits)
+    # Rows without an id are in no join, where they would meet in one task.
+    named = rows.where("page_id is not null").withColumn("_sha1", F.sha1("payload"))
+    done = named.join(revisits, (F.col("page_id") == F.col("_id")) & (F.col("_sha1") == F.col("_sha")), "left").select(*rows.columns, "keeper")
+    done = done.unionByName(rows.where("page_id is null").withColumn("keeper", F.lit(None).cast("long")))
     done.select("page_id", "url", "payload", "keeper", F.col("keeper").isNotNull().alias("revisit")).write.format("warc").mode("append").save(path)
 
 
