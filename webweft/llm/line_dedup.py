@@ -179,7 +179,10 @@ class LineIndex:
 
     ``insert`` and ``delete`` return a new index; the old one stays valid.
     Documents with a null id are not indexed and never lose lines. Rows that
-    share a doc_id are one document. Null text is one empty line.
+    share a doc_id are one document; ids are whole numbers. Null text is one empty
+    line. Texts and lines of any length are read whole. Of a tie, that is of several
+    documents with a line, the smallest id keeps it. An empty table makes an empty
+    index, to which documents can be added. Other columns are ignored.
     """
 
     postings: DataFrame  # line_key binary, doc_id long
@@ -211,6 +214,11 @@ class LineIndex:
         old = self.counts.join(touched, "line_key", "left_semi")
         new = materialize(_key_counts(postings.join(touched, "line_key", "left_semi")), "line-counts-new")
         counts = materialize(self.counts.join(touched, "line_key", "left_anti").unionByName(new), "line-counts")
+        shared = counts.where("refs > 1")
+        needed = math.ceil(shared.count() / SHARD_KEYS)
+        if needed > 2 * self.shards:  # filters have outgrown their shards: deal the keys anew
+            wider = LineIndex(postings, counts, counts, needed)
+            return replace(wider, filters=materialize(wider._filters_of(shared), "line-filters"))
         was, now = old.where("refs > 1").select("line_key"), new.where("refs > 1").select("line_key")
         moved = now.join(was, "line_key", "left_anti").withColumn("step", F.lit(1)).unionByName(was.join(now, "line_key", "left_anti").withColumn("step", F.lit(-1)))
         moved = moved.withColumn("shard", self._shard())
@@ -248,17 +256,22 @@ class LineIndex:
 
         Returns the columns of ``docs``, ``text`` replaced, then ``n_lines`` and
         ``n_dropped``, which replace columns of those names. Null text stays null
-        and counts as one line.
+        and counts as one line. Rows with a null id come through as they are. A
+        document whose lines all go keeps its row, with an empty text.
         """
         own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
         drops = self.drops().groupBy(F.col("doc_id").alias("_drop_doc")).agg(F.collect_list("line_key").alias("_drop"))
         rest = [c for c in own if c != text]
-        rows = docs.join(drops, F.col(key).cast("long") == F.col("_drop_doc"), "left").select(*rest, F.col(text).cast("string").alias("_text"), "_drop")
+        columns = [*rest, F.col(text).cast("string").alias("_text"), "_drop"]
+        # Rows without an id are in no join, where they would meet in one task.
+        rows = docs.where(F.col(key).isNotNull()).join(drops, F.col(key).cast("long") == F.col("_drop_doc"), "left").select(*columns)
+        rows = rows.unionByName(docs.where(F.col(key).isNull()).withColumn("_drop", F.lit(None).cast("array<binary>")).select(*columns))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema), "_kept string, _lines long, _dropped long"])
         done = rows.mapInPandas(_strip, schema)
         return done.select(*(F.col("_kept").alias(text) if c == text else F.col(c) for c in own), F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Build an index over ``docs`` and apply it to them."""
+    """Build an index over ``docs`` and apply it to them: nulls, repeated ids, ties,
+    empty tables and clashing columns as in ``LineIndex``."""
     return LineIndex.build(docs, key, text).dedup(docs, key, text)
