@@ -3,10 +3,12 @@
 Documents are tokenized in a map over partitions; only piece descriptions travel
 further. Pieces are dealt round-robin into blocks of bounded size, or into blocks of
 consecutive documents where an order is given; each block is
-packed best-fit-decreasing, and a local search then empties bins: it moves
-pieces, or exchanges one for one or two for one, from one underfull bin to
-another, the emptiest first. The sum of squared fills grows with every step, so
-the search ends by itself.
+packed best-fit, and a local search then empties bins: it moves pieces, or exchanges
+one for one or two for one, from one underfull bin to another, the emptiest first.
+The sum of squared fills grows with every step, so the search ends by itself, when no
+step is left or no bin can be spared. It starts from the pieces in descending order
+and, unless that reaches the bound, from coarse classes of length as well; the better
+result counts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ MAX_TOKENS = 1024
 END_ID = 2
 #: Documents dealt to one packing block.
 BLOCK_DOCS = 16_384
+#: Widths of the classes of length by which pieces are ordered for the fits that the search starts from.
+STARTS = (1, 256)
 
 
 class ByteBpe:
@@ -100,10 +104,10 @@ class _Bins:
         self.frees: dict[int, int] = defaultdict(int)  # length or 0: bit set of free spaces
         self.by_length: list[dict[int, list[int]]] = []  # of a bin, length: items
 
-    def best_fit(self, lengths: np.ndarray) -> None:
+    def best_fit(self, lengths: np.ndarray, order: np.ndarray) -> None:
         open_bins: dict[int, list[int]] = defaultdict(list)
         spaces = 0
-        for item in np.argsort(-lengths, kind="stable").tolist():
+        for item in order.tolist():
             length = int(lengths[item])
             fitting = spaces >> length
             if fitting:
@@ -191,9 +195,9 @@ class _Bins:
             self.by_length.append(held)
         for b in range(len(self.items)):
             self._index(b, True)
-        used, emptied = len(self.items), True
-        while emptied and used > least:
-            emptied = False
+        used, moved = len(self.items), True
+        while moved and used > least:
+            moved = False
             for b in sorted((b for b in range(len(self.items)) if self.by_length[b] and self.free[b]), key=lambda b: (-self.free[b], b)):
                 if used <= least:
                     break
@@ -201,22 +205,27 @@ class _Bins:
                     continue
                 self._index(b, False)
                 while self.by_length[b] and self._step(b):
-                    pass
+                    moved = True
                 if self.by_length[b]:
                     self._index(b, True)
                 else:
-                    used, emptied = used - 1, True
+                    used -= 1
         self.items = [[i for held in x.values() for i in held] for x in self.by_length if x]
 
 
 def pack_lengths(lengths, size: int = MAX_TOKENS) -> list[list[int]]:
     """Bins, as lists of item numbers, for items of the given lengths (1 to size)."""
     lengths = np.asarray(lengths, np.int64)
-    bins = _Bins(size)
-    if len(lengths):
-        bins.best_fit(lengths)
+    best: list[list[int]] | None = None
+    for width in STARTS:
+        bins = _Bins(size)
+        bins.best_fit(lengths, np.argsort(-(lengths // width), kind="stable"))
         bins.search(lengths)
-    return bins.items
+        if best is None or len(bins.items) < len(best):
+            best = bins.items
+        if len(best) <= -(-int(lengths.sum()) // size):
+            break
+    return best or []
 
 
 def _pack_in_order(made: DataFrame, kind: str, max_tokens: int, block_docs: int) -> DataFrame:
@@ -247,8 +256,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: i
     Documents end with ``end_id``; only those longer than ``max_tokens`` are cut.
 
     Null or empty text is the end id alone. Null and repeated doc_ids are packed
-    like any other row, one set of pieces per row. Other columns are ignored; an
-    empty table gives no rows.
+    like any other row, one set of pieces per row; texts of any length are encoded
+    whole. Other columns are ignored, whatever their names; an empty table gives no
+    rows.
 
     ``position`` names a column that numbers the documents from 0. Blocks are then
     ranges of it, and sequence ids ascend with the block and, inside a block, with
