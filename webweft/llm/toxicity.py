@@ -218,7 +218,9 @@ def held_out(key: str):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> ToxicityModel:
     """Fit on at most ``sample`` documents of either class, those with the
     smallest hashes, among labelled rows that are not held out. A document with
-    labels of both classes counts as toxic; null labels and texts are left out.
+    labels of both classes counts as toxic; null labels and texts are left out, as are
+    labels without a document; of several documents with one id one is learnt from.
+    Without labels, or with one class only, the model is a constant.
     Training runs in one executor task, which the bound on the sample keeps small."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     known = known.where(~held_out("_key"))
@@ -247,8 +249,9 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
     """The rows of ``docs`` with ``toxicity`` (0 to 1, higher: likelier toxic) and
     ``is_toxic``, which replace columns of those names.
 
-    Null and empty texts, and texts without words, score by the bias alone. An
-    empty table gives no rows.
+    Null and empty texts, and texts without words, score by the bias alone. Texts of
+    any length are scored whole. Rows that repeat an id are scored each by its own
+    text, so that rows alike tie. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("toxicity", "is_toxic")]
 
