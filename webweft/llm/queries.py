@@ -151,18 +151,21 @@ sim AS (
         FROM sim, parts WHERE t + 1 < q) s),
 cal AS (SELECT pick AS i, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM sim WHERE t >= 0),
 d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, length(coalesce(text, '')) AS n,
          coalesce(sum(length(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY
-             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT), doc_id, md5(coalesce(text, ''))
+             CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT), doc_id, md5(coalesce(text, ''))
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM documents)
-SELECT d.doc_id, d.source, CAST(start // {mixing.BLOCK_CHARS} AS BIGINT) AS mix_block,
-       CAST((start // {mixing.BLOCK_CHARS} // w.weight) * q + slot AS BIGINT) AS mix_slot,
-       CAST((start // {mixing.BLOCK_CHARS}) * q // w.weight AS BIGINT) AS mix_release,
-       CAST(((start // {mixing.BLOCK_CHARS} + 1) * q + w.weight - 1) // w.weight AS BIGINT) AS mix_deadline,
-       CAST(start AS BIGINT) AS mix_start
-FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source JOIN parts ON true
-JOIN cal ON cal.i = w.i AND cal.j = (start // {mixing.BLOCK_CHARS}) % w.weight""",
+  FROM documents),
+c AS (SELECT *, unnest(range(CAST(start // {mixing.BLOCK_CHARS} AS BIGINT), CAST(greatest(start, start + n - 1) // {mixing.BLOCK_CHARS} + 1 AS BIGINT))) AS b FROM d)
+SELECT c.doc_id, c.source, CAST(b - start // {mixing.BLOCK_CHARS} AS INTEGER) AS mix_piece, b AS mix_block,
+       CAST((b // w.weight) * q + slot AS BIGINT) AS mix_slot,
+       CAST(b * q // w.weight AS BIGINT) AS mix_release,
+       CAST(((b + 1) * q + w.weight - 1) // w.weight AS BIGINT) AS mix_deadline,
+       CAST(start AS BIGINT) AS mix_start,
+       CAST(greatest(start, b * {mixing.BLOCK_CHARS}) - b * {mixing.BLOCK_CHARS} AS BIGINT) AS mix_offset,
+       CAST(least(start + n, (b + 1) * {mixing.BLOCK_CHARS}) - greatest(start, b * {mixing.BLOCK_CHARS}) AS BIGINT) AS mix_chars
+FROM c JOIN w ON w.source IS NOT DISTINCT FROM c.source JOIN parts ON true
+JOIN cal ON cal.i = w.i AND cal.j = b % w.weight""",
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 k AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS keeper FROM p)
