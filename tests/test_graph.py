@@ -80,9 +80,28 @@ def test_long_redirect_chain(spark):
 
 
 def test_repeated_ids_and_titles(spark):
-    g = wiki(spark, [(1, "B", False), (1, "A", False), (2, "A", False), (3, "C", False)], [], [(1, "A"), (1, "A")])
-    assert sorted(r["id"] for r in g.vertex.collect()) == [1, 3]
-    assert edges_of(g) == [(1, 1)]
+    g = wiki(spark, [(1, "B", False), (1, "A", False), (2, "A", False), (3, "C", False), (4, "C", True), (5, "D", True)], [(5, "C")], [(1, "A"), (1, "A"), (2, "C"), (3, "D")])
+    assert sorted(r["id"] for r in g.vertex.collect()) == [1, 2, 3]
+    assert edges_of(g) == [(1, 1), (2, 3), (3, 3)]
+    assert names(g) == {"A": (1, "page"), "C": (3, "page"), "D": (3, "redirect")}
+    assert all(r["violations"] == 0 for r in g.violations().collect())
+
+
+def test_scan_counts(spark):
+    page = spark.createDataFrame([(1, "A", False), (1, "X", False), (2, "B", True), (3, "C", False)], "page_id long, title string, is_redirect boolean")
+    redirect = spark.createDataFrame([(2, "A"), (2, "gone"), (3, "A"), (9, "A")], "rd_from long, rd_title string")
+    link = spark.createDataFrame([(1, "B"), (2, "C"), (1, "gone"), (9, "A"), (1, "B")], "pl_from long, pl_title string")
+    counts = resolve.scan_counts(page, redirect, link)
+    assert {r["source"]: (r["attempts"], r["accepted"]) for r in counts.collect()} == {"page": (4, 3), "redirect": (4, 1), "pagelink": (5, 3)}
+
+
+def test_recent_searches_and_survey(spark):
+    g = graph_of(spark, [(1, 2), (2, 3), (5, 6)])
+    found = [paths.Path(1, 2, "ok", [1, 2]), paths.Path(2, 3, "ok", [2, 3]), paths.Path(1, 6, "no_such_path", None), paths.Path(1, 2, "ok", [1, 2])]
+    assert [(p.src, p.dst) for p in paths.recent_paths(found)] == [(1, 2), (2, 3)]
+    rows = paths.survey(g, [(1, 3), (1, 6)]).collect()
+    assert {(r["src"], r["dst"]): (r["status"], r["hops"]) for r in rows} == {(1, 3): ("ok", 2), (1, 6): ("no_such_path", None)}
+    assert [r["millis"] for r in rows] == sorted(r["millis"] for r in rows)
 
 
 def test_caps_aliases(spark):

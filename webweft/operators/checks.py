@@ -26,8 +26,9 @@ def stray_titles(vertex: DataFrame, title: DataFrame) -> DataFrame:
 
 
 def unnamed_vertices(vertex: DataFrame, title: DataFrame) -> DataFrame:
-    """Vertices whose own title is not in the title table."""
-    return vertex.join(title.where("kind = 'page'").select("title", "id"), ["title", "id"], "left_anti").select("id")
+    """Vertices whose own title is not in the title table; of vertices that share a
+    title it leads to one."""
+    return vertex.join(title.where("kind <> 'caps'").select("title"), "title", "left_anti").select("id")
 
 
 def asymmetric(children: DataFrame, parents: DataFrame) -> DataFrame:

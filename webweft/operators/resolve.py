@@ -9,10 +9,14 @@ from webweft.runtime import discard, materialize, scratch_path
 
 
 def clean_pages(page: DataFrame) -> DataFrame:
-    """One row per id and one per title; the smallest title and id win where the
-    input repeats them (dump order is no property of a distributed scan)."""
-    by_id = page.groupBy("page_id").agg(F.min(F.struct("title", "is_redirect")).alias("p")).select("page_id", "p.*")
-    return by_id.groupBy("title").agg(F.min(F.struct("page_id", "is_redirect")).alias("p")).select("p.page_id", "title", "p.is_redirect")
+    """One row per id; the smallest title wins where the input repeats an id (dump
+    order is no property of a distributed scan). Pages may share a title."""
+    return page.groupBy("page_id").agg(F.min(F.struct("title", "is_redirect")).alias("p")).select("page_id", "p.*")
+
+
+def named_pages(page: DataFrame) -> DataFrame:
+    """One row per title: the page that the title means, which is the smallest id of those that share it."""
+    return page.groupBy("title").agg(F.min(F.struct("page_id", "is_redirect")).alias("p")).select("p.page_id", "title", "p.is_redirect")
 
 
 def redirect_targets(page: DataFrame, redirect: DataFrame) -> DataFrame:
@@ -22,7 +26,7 @@ def redirect_targets(page: DataFrame, redirect: DataFrame) -> DataFrame:
     several resolvable rows for one redirect the smallest target wins.
     """
     flagged = page.where("is_redirect").select(F.col("page_id").alias("id"))
-    named = redirect.join(page.select(F.col("title").alias("rd_title"), F.col("page_id").alias("target")), "rd_title").select(F.col("rd_from").alias("id"), "target")
+    named = redirect.join(named_pages(page).select(F.col("title").alias("rd_title"), F.col("page_id").alias("target")), "rd_title").select(F.col("rd_from").alias("id"), "target")
     return flagged.join(named.groupBy("id").agg(F.min("target").alias("target")), "id", "left")
 
 
@@ -59,18 +63,38 @@ def vertices(page: DataFrame) -> DataFrame:
 
 def addresses(page: DataFrame, closure: DataFrame) -> DataFrame:
     """``title, id, kind``: each title that leads to a page, redirects resolved to
-    the end of their chain."""
+    the end of their chain. Titles are unique."""
+    page = named_pages(page)
     direct = page.where("NOT is_redirect").select("title", F.col("page_id").alias("id"), F.lit("page").alias("kind"))
     through = page.where("is_redirect").join(closure, F.col("page_id") == F.col("id")).select("title", F.col("target").alias("id"), F.lit("redirect").alias("kind"))
     return direct.unionByName(through)
 
 
-def edges(page: DataFrame, closure: DataFrame, pagelink: DataFrame) -> DataFrame:
-    """``src, dst``, distinct. Links on a redirect count as its target's; links from
-    unknown pages or to unknown titles are dropped; self-loops stay."""
+def known_links(page: DataFrame, closure: DataFrame, pagelink: DataFrame) -> DataFrame:
+    """``src, dst`` of each link of which both ends are known. Links on a redirect
+    count as its target's; links from unknown pages or to unknown titles are dropped."""
     sources = page.where("NOT is_redirect").select(F.col("page_id").alias("pl_from"), F.col("page_id").alias("src")).unionByName(closure.select(F.col("id").alias("pl_from"), F.col("target").alias("src")))
     named = addresses(page, closure).select(F.col("title").alias("pl_title"), F.col("id").alias("dst"))
-    return pagelink.join(named, "pl_title").join(sources, "pl_from").select("src", "dst").distinct()
+    return pagelink.join(named, "pl_title").join(sources, "pl_from").select("src", "dst")
+
+
+def edges(page: DataFrame, closure: DataFrame, pagelink: DataFrame) -> DataFrame:
+    """``src, dst``, distinct; self-loops stay."""
+    return known_links(page, closure, pagelink).distinct()
+
+
+def scan_counts(page: DataFrame, redirect: DataFrame, pagelink: DataFrame) -> DataFrame:
+    """``source, attempts, accepted`` of the tables of a dump: a page is accepted
+    unless its id is taken, a redirect if its source is a redirect and its title is
+    known, a link if both its ends are known."""
+    own = materialize(clean_pages(page), "page")
+    titled = redirect.join(own.where("is_redirect").select(F.col("page_id").alias("rd_from")), "rd_from").join(own.select(F.col("title").alias("rd_title")).distinct(), "rd_title")
+    accepted = {"page": (page, own), "redirect": (redirect, titled), "pagelink": (pagelink, known_links(own, redirect_closure(own, redirect), pagelink))}
+    count, out = F.count(F.lit(1)), None
+    for name, (rows, kept) in accepted.items():
+        part = rows.agg(count.alias("attempts")).crossJoin(kept.agg(count.alias("accepted"))).select(F.lit(name).alias("source"), "attempts", "accepted")  # one row each
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def resolved(page: DataFrame, redirect: DataFrame, pagelink: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""SQL dumps of a wiki as typed tables.
+"""SQL dumps of a wiki as typed tables, plain or compressed (``.gz``, ``.bz2``) by the file's ending.
 
 A dump is lines of INSERT statements with many tuples each. One regular
 expression a table finds whole tuples of namespace 0; a second pass over the
@@ -58,19 +58,6 @@ def read_pagelinks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _tuples(spark, path, p).select(_field(p, 1).cast("bigint").alias("pl_from"), _field(p, 2).alias("pl_title"))
 
 
-def scan_counts(spark: SparkSession, paths: dict[str, str], layout: str = "standard") -> DataFrame:
-    """``source, attempts, accepted``: tuples that fit each table's layout, and those
-    left after duplicate ids (and unnamed titles) are put aside."""
-    read = {"page": lambda p: read_pages(spark, p, layout).withColumnRenamed("page_id", "id"), "redirect": lambda p: read_redirects(spark, p).withColumnRenamed("rd_from", "id"), "pagelink": lambda p: read_pagelinks(spark, p)}
-    out = None
-    for name, path in paths.items():
-        rows = read[name](path)
-        accepted = F.countDistinct("id") if name != "pagelink" else F.count(F.lit(1))
-        part = rows.agg(F.count(F.lit(1)).alias("attempts"), accepted.alias("accepted")).select(F.lit(name).alias("source"), "attempts", "accepted")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def write_dump(page: DataFrame, redirect: DataFrame, pagelink: DataFrame, path: str, per_line: int = 200) -> dict[str, str]:
     """Render tables as dump lines of about ``per_line`` tuples under ``path``; the
     folders by table. Titles are taken to be escaped already."""
