@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webweft.runtime import discard, scratch_path
@@ -23,11 +24,7 @@ class _Search:
         self.spark, self.level = edge.sparkSession, 0
         self.step = edge.select(*(F.col(c).alias(n) for c, n in zip(("dst", "src") if reverse else ("src", "dst"), ("_from", "_to"))))
         self.base = scratch_path(self.spark, "bfs")
-        self._write(self.spark.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(None).cast("long").alias("pred")))
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.base}/level={self.level}")
-        self.found = self.frontier().count()
+        self.spark.range(1).select(F.lit(start).cast("long").alias("id"), F.lit(None).cast("long").alias("pred")).write.parquet(f"{self.base}/level=0")
 
     def frontier(self) -> DataFrame:
         return self.spark.read.schema("id long, pred long").parquet(f"{self.base}/level={self.level}")
@@ -35,23 +32,31 @@ class _Search:
     def seen(self) -> DataFrame:
         return self.spark.read.schema("id long, pred long, level int").parquet(self.base)
 
-    def expand(self) -> int:
-        """Go one level on; the number of nodes found."""
+    def expand(self, other: _Search | None = None) -> tuple[int, int | None]:
+        """Go one level on: the number of nodes found, and the node at which the
+        search from the other end is met, nearest to its start."""
         reached = self.frontier().select(F.col("id").alias("_from")).join(self.step, "_from").groupBy(F.col("_to").alias("id")).agg(F.min("_from").alias("pred"))
         new = reached.join(self.seen().select("id"), "id", "left_anti")
         self.level += 1
-        self._write(new)
-        return self.found
+        met = F.lit(None).cast("struct<at:int,id:long>")
+        if other is not None:
+            there = other.seen().select(F.col("id").alias("_met"), F.col("level").alias("_at"))
+            new = new.join(there, F.col("id") == F.col("_met"), "left")
+            met = F.when(F.col("_met").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_met").alias("id")))
+        # The level is written, counted and searched for a meeting in one job.
+        seen = Observation()
+        new.observe(seen, F.count(F.lit(1)).alias("found"), F.min(met).alias("met")).select("id", "pred").write.parquet(f"{self.base}/level={self.level}")
+        return seen.get["found"], None if seen.get["met"] is None else seen.get["met"]["id"]
 
     def chain(self, node: int) -> list[int]:
-        """Nodes from ``node`` back to the start: one look-up a level."""
-        out = [node]
-        for level in range(self.level_of(node), 0, -1):
-            out.append(self.seen().where((F.col("level") == level) & (F.col("id") == out[-1])).first()["pred"])
-        return out
-
-    def level_of(self, node: int) -> int:
-        return self.seen().where(F.col("id") == node).first()["level"]
+        """Nodes from ``node`` back to the start, one row of each level, in one job."""
+        last = self.seen().where(F.col("id") == node).select("level", F.col("pred").alias("pred_0"))
+        top = last.first()["level"]
+        for hop, level in enumerate(range(top - 1, 0, -1), 1):
+            step = self.seen().where(F.col("level") == level).select(F.col("id").alias("_id"), F.col("pred").alias(f"pred_{hop}"))
+            last = step.join(F.broadcast(last), F.col("_id") == F.col(f"pred_{hop - 1}")).drop("_id")  # one row
+        row = last.first()
+        return [node, *(row[f"pred_{hop}"] for hop in range(top))]
 
 
 @dataclass(frozen=True)
@@ -94,11 +99,10 @@ def shortest_path(vertex: DataFrame, edge: DataFrame, src: int, dst: int, max_ro
     try:
         for _ in range(max_rounds):
             for side, other in ((down, up), (up, down)):
-                side.expand()
-                met = side.frontier().select("id").join(other.seen().select("id", "level"), "id").orderBy("level", "id").first()
+                found, met = side.expand(other)
                 if met is not None:
-                    return Path(src, dst, "ok", down.chain(met["id"])[::-1] + up.chain(met["id"])[1:])
-                if not side.found:
+                    return Path(src, dst, "ok", down.chain(met)[::-1] + up.chain(met)[1:])
+                if not found:
                     return Path(src, dst, "no_such_path", None)
         return Path(src, dst, "terminated", None)
     finally:
@@ -112,7 +116,7 @@ def levels(vertex: DataFrame, edge: DataFrame, start: int, reverse: bool = False
     if vertex.where(F.col("id") == start).isEmpty():
         raise KeyError(f"no page {start}")
     search = _Search(edge, start, reverse)
-    while (max_level is None or search.level < max_level) and search.expand():
+    while (max_level is None or search.level < max_level) and search.expand()[0]:
         pass
     return search.seen().select("id", "level")
 
@@ -135,6 +139,24 @@ def cached_paths(graph, pairs: list[tuple[int, int]], cache: DataFrame | None =
     return hits.unionByName(new), cache.unionByName(new.where(F.col("hops") >= worth))
 
 
+def recent_paths(history: list[Path], limit: int = 10) -> list[Path]:
+    """The last searches that found a path, each pair once, newest first."""
+    latest = {(p.src, p.dst): p for p in reversed(history) if p.path is not None}
+    newest = dict.fromkeys((p.src, p.dst) for p in reversed(history) if p.path is not None)
+    return [latest[k] for k in newest][:limit]
+
+
+def survey(graph, pairs: list[tuple[int, int]]) -> DataFrame:
+    """``src, dst, status, path, hops, millis`` of a search for each pair, the fastest first."""
+    rows = []
+    for src, dst in pairs:
+        begun = time.perf_counter()
+        found = shortest_path(graph.vertex, graph.edge, src, dst)
+        rows.append((src, dst, found.status, found.path, found.hops, 1000 * (time.perf_counter() - begun)))
+    schema = "src long, dst long, status string, path array<long>, hops int, millis double"
+    return graph.vertex.sparkSession.createDataFrame(rows, schema).orderBy("millis", "src", "dst")
+
+
 def longest_paths(cache: DataFrame, limit: int = 10) -> DataFrame:
     """The longest cached searches."""
     return cache.orderBy(F.desc("hops"), "src", "dst").limit(limit)
