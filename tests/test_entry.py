@@ -8,7 +8,7 @@ from webweft.plans import queries as graph_queries
 from webweft.plans.fixtures import graph
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["page_counts", "redirect_resolution", "resolved_edges", "title_table", "caps_collisions", "degrees", "orphan_pages", "title_lookup", "ancestor_levels", "canonical_path", "pagerank_fixed_10", "symmetry_violations"]
+QUICK = ["page_counts", "redirect_resolution", "resolved_edges", "title_table", "caps_collisions", "degrees", "orphan_pages", "title_lookup", "ancestor_levels", "canonical_path", "pagerank_fixed_10", "pagerank_converged", "scan_counts", "shared_title_edges", "shared_title_table", "shared_title_pages", "shared_title_counts", "random_pages", "title_suggestions", "cached_paths", "search_survey", "recent_searches", "rank_sum", "snapshot_round_trip", "symmetry_violations"]
 
 
 @pytest.fixture(scope="module")

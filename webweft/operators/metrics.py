@@ -43,4 +43,4 @@ def neighbor_redundancy(edge: DataFrame) -> DataFrame:
 
 def random_vertices(vertex: DataFrame, count: int = 1, seed: int = 0) -> DataFrame:
     """``count`` vertices, the same for the same seed."""
-    return vertex.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count)
+    return vertex.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(count)

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft import schema
 from webweft.operators import metrics, paths, resolve, titles
-from webweft.operators.pagerank import pagerank, rank_report
-from webweft.plans.fixtures import DUMP_SQL, dump_tables, graph
+from webweft.operators.pagerank import pagerank, rank_report, rank_total
+from webweft.plans.fixtures import DUMP_SQL, SHARED_SQL, dump_tables, graph
 from webweft.plans.graph import LinkGraph
-from webweft.runtime import scratch_path
+from webweft.runtime import materialize, scratch_path
 from webweft.sources import dump, store
 
 TURNS = 10
+#: Turns that the SQL of the converged ranks unrolls, of which it takes the first that settles.
+SETTLED = 90
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,6 +149,64 @@ def pagerank_top(spark, sf_dir):
     return rank_report(pagerank(g.vertex, g.edge, turns=TURNS)[0], g.vertex).limit(10).select(F.round("rank", 10).alias("rank"), "id", "title")
 
 
+def rank_sum(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return rank_total(pagerank(g.vertex, g.edge, turns=TURNS)[0]).select(F.round("total", 9).alias("total"))
+
+
+def scan_counts(spark, sf_dir):
+    return resolve.scan_counts(*dump_tables(spark, sf_dir))
+
+
+def shared_title_edges(spark, sf_dir):
+    return graph(spark, sf_dir, SHARED_SQL).edge
+
+
+def shared_title_table(spark, sf_dir):
+    return graph(spark, sf_dir, SHARED_SQL).title
+
+
+def shared_title_pages(spark, sf_dir):
+    return graph(spark, sf_dir, SHARED_SQL).vertex
+
+
+def shared_title_counts(spark, sf_dir):
+    return resolve.scan_counts(*dump_tables(spark, sf_dir, SHARED_SQL))
+
+
+def random_pages(spark, sf_dir):
+    return metrics.random_vertices(graph(spark, sf_dir).vertex, 5, seed=7)
+
+
+def title_suggestions(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    rank = pagerank(g.vertex, g.edge, turns=TURNS)[0].select("id", F.round("rank", 10).alias("rank"))
+    return titles.suggest(g.title, rank, " Item 12", distance=1)
+
+
+def cached_paths(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    low, high = _ends(g)
+    _, cache = paths.cached_paths(g, [(low, high), (high, low)], worth=2)
+    cache = materialize(cache, "path-cache")
+    answers, cache = paths.cached_paths(g, [(low, high), (low, low)], cache, worth=2)
+    longest = paths.longest_paths(cache).select(F.lit("longest").alias("list"), "src", "dst", "hops")
+    return answers.select(F.lit("answers").alias("list"), "src", "dst", "hops").unionByName(longest)
+
+
+def search_survey(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    ids = [r[0] for r in metrics.random_vertices(g.vertex, 4, seed=3).select("id").collect()]
+    return paths.survey(g, list(zip(ids[:2], ids[2:]))).select("src", "dst", "status", "hops")
+
+
+def recent_searches(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    low, high = _ends(g)
+    first, second = g.shortest_path(low, high), g.shortest_path(low, low)
+    return paths.paths_table(spark, paths.recent_paths([first, second, first], 2)).select("src", "dst", "hops")
+
+
 def pagerank_converged(spark, sf_dir):
     g = graph(spark, sf_dir)
     return pagerank(g.vertex, g.edge)[0].select("id", F.round("rank", 6).alias("rank"))
@@ -167,7 +226,11 @@ def symmetry_violations(spark, sf_dir):
 def snapshot_round_trip(spark, sf_dir):
     path = scratch_path(spark, "snapshot")
     store.save(graph(spark, sf_dir), path)
-    return store.load(spark, path).title.select(*schema.TITLE.names)
+    g = store.load(spark, path)
+    text = lambda c: F.col(c).cast("string")
+    rows = g.title.select(F.lit("title").alias("part"), F.col("title").alias("a"), text("id").alias("b"), F.col("kind").alias("c"))
+    rows = rows.unionByName(g.vertex.select(F.lit("vertex").alias("part"), F.col("title").alias("a"), text("id").alias("b"), F.lit("").alias("c")))
+    return rows.unionByName(g.edge.select(F.lit("edge").alias("part"), text("src").alias("a"), text("dst").alias("b"), F.lit("").alias("c")))
 
 
 def json_round_trip(spark, sf_dir):
@@ -184,32 +247,40 @@ def dump_round_trip(spark, sf_dir):
 _NAMES = """page_counts redirect_resolution resolved_edges title_table caps_aliases caps_collisions out_degree_top in_degree_top
 degrees neighbor_redundancy self_loops dangling_pages orphan_pages children_of parents_of title_lookup bfs_levels_down
 ancestor_levels ancestor_summary farthest_ancestors shortest_path_hops canonical_path pagerank_fixed_10 pagerank_top
-pagerank_converged rank_report_csv symmetry_violations snapshot_round_trip json_round_trip dump_round_trip"""
+pagerank_converged rank_sum rank_report_csv scan_counts shared_title_edges shared_title_table shared_title_pages shared_title_counts random_pages title_suggestions cached_paths search_survey recent_searches symmetry_violations snapshot_round_trip json_round_trip dump_round_trip"""
 QUERIES: dict[str, Query] = {name: globals()[name] for name in _NAMES.split()}
 
-_GRAPH_SQL = (
-    "WITH RECURSIVE "
-    + DUMP_SQL.format(part="part", lineitem="lineitem")
-    + """,
+_RULES_SQL = """,
+named AS (SELECT title, min(page_id) AS page_id FROM page GROUP BY title),
 target AS (
-  SELECT r.rd_from AS id, min(p.page_id) AS target FROM redirect r JOIN page p ON p.title = r.rd_title
+  SELECT r.rd_from AS id, min(p.page_id) AS target FROM redirect r JOIN named p ON p.title = r.rd_title
   JOIN page s ON s.page_id = r.rd_from AND s.is_redirect GROUP BY 1),
 walk AS (SELECT id, target FROM target UNION SELECT w.id, g.target FROM walk w JOIN target g ON g.id = w.target),
 closure AS (SELECT w.id, w.target FROM walk w JOIN page p ON p.page_id = w.target AND NOT p.is_redirect),
 vertex AS (SELECT page_id AS id, title FROM page WHERE NOT is_redirect),
 address AS (
-  SELECT title, id, 'page' AS kind FROM vertex
-  UNION ALL SELECT p.title, c.target, 'redirect' FROM page p JOIN closure c ON c.id = p.page_id),
-edge AS (
-  SELECT DISTINCT coalesce(c.target, l.pl_from) AS src, a.id AS dst
+  SELECT n.title, n.page_id AS id, 'page' AS kind FROM named n JOIN vertex v ON v.id = n.page_id
+  UNION ALL SELECT n.title, c.target, 'redirect' FROM named n JOIN closure c ON c.id = n.page_id),
+known AS (
+  SELECT coalesce(c.target, l.pl_from) AS src, a.id AS dst
   FROM pagelink l JOIN address a ON a.title = l.pl_title LEFT JOIN closure c ON c.id = l.pl_from
   WHERE coalesce(c.target, l.pl_from) IN (SELECT id FROM vertex)),
+edge AS (SELECT DISTINCT src, dst FROM known),
 caps AS (
   SELECT upper(title) AS title, min(id) AS id, count(DISTINCT id) AS pages FROM address
   WHERE upper(title) NOT IN (SELECT title FROM address) GROUP BY 1),
 titles AS (SELECT title, id, kind FROM address UNION ALL SELECT title, id, 'caps' FROM caps WHERE pages = 1),
 ends AS (SELECT min(id) AS low, max(id) AS high FROM vertex)"""
-)
+
+
+def _graph_sql(tables: str) -> str:
+    return "WITH RECURSIVE " + tables.format(part="part", lineitem="lineitem") + _RULES_SQL
+
+
+_GRAPH_SQL = _graph_sql(DUMP_SQL)
+_COUNTS = """SELECT 'page' AS source, (SELECT count(*) FROM page) AS attempts, (SELECT count(DISTINCT page_id) FROM page) AS accepted
+UNION ALL SELECT 'redirect', (SELECT count(*) FROM redirect), (SELECT count(*) FROM redirect WHERE rd_from IN (SELECT page_id FROM page WHERE is_redirect) AND rd_title IN (SELECT title FROM page))
+UNION ALL SELECT 'pagelink', (SELECT count(*) FROM pagelink), (SELECT count(*) FROM known)"""
 
 
 def _levels(name: str, start: str, reverse: bool = False) -> str:
@@ -296,8 +367,51 @@ chain AS (SELECT id, position FROM before UNION SELECT id, position FROM after)"
     "pagerank_fixed_10": _sql(f"SELECT id, round(rank, 10) AS rank FROM r{TURNS}", _rank_sql(TURNS)),
     "pagerank_top": _sql(f"SELECT round(rank, 10) AS rank, v.id, v.title FROM r{TURNS} r JOIN vertex v ON v.id = r.id ORDER BY r.rank DESC, v.id LIMIT 10", _rank_sql(TURNS)),
     "rank_report_csv": _sql(f"SELECT round(rank, 10) AS rank, v.id, v.title FROM r{TURNS} r JOIN vertex v ON v.id = r.id", _rank_sql(TURNS)),
-    "symmetry_violations": "SELECT unnest(['duplicate_edges', 'loose_ends', 'repeated_titles', 'stray_titles', 'unnamed_vertices']) AS rule, CAST(0 AS BIGINT) AS violations",
-    "snapshot_round_trip": _sql("SELECT title, id, kind FROM titles"),
+    "symmetry_violations": _sql("""SELECT 'duplicate_edges' AS rule, (SELECT count(*) FROM (SELECT src FROM edge GROUP BY src, dst HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'loose_ends', (SELECT count(*) FROM edge WHERE src NOT IN (SELECT id FROM vertex) OR dst NOT IN (SELECT id FROM vertex))
+UNION ALL SELECT 'repeated_titles', (SELECT count(*) FROM (SELECT title FROM titles GROUP BY title HAVING count(*) > 1))
+UNION ALL SELECT 'stray_titles', (SELECT count(*) FROM titles WHERE id NOT IN (SELECT id FROM vertex))
+UNION ALL SELECT 'unnamed_vertices', (SELECT count(*) FROM vertex WHERE title NOT IN (SELECT title FROM titles WHERE kind <> 'caps'))"""),
+    "snapshot_round_trip": _sql("""SELECT 'title' AS part, title AS a, CAST(id AS VARCHAR) AS b, kind AS c FROM titles
+UNION ALL SELECT 'vertex', title, CAST(id AS VARCHAR), '' FROM vertex UNION ALL SELECT 'edge', CAST(src AS VARCHAR), CAST(dst AS VARCHAR), '' FROM edge"""),
+    "rank_sum": _sql(f"SELECT round(sum(rank), 9) AS total FROM r{TURNS}", _rank_sql(TURNS)),
+    "pagerank_converged": _sql(
+        "SELECT id, round(rank, 6) AS rank FROM turns WHERE turn = (SELECT min(turn) FROM (SELECT turn, max(abs(rank - was)) AS change FROM turns GROUP BY turn) WHERE change <= 1e-8)",
+        _rank_sql(SETTLED) + ",\nturns AS (" + " UNION ALL ".join(f"SELECT {i} AS turn, n.id, n.rank, o.rank AS was FROM r{i} n JOIN r{i - 1} o ON o.id = n.id" for i in range(1, SETTLED + 1)) + ")",
+    ),
+    "scan_counts": _sql(_COUNTS),
+    "shared_title_edges": f"{_graph_sql(SHARED_SQL)} SELECT src, dst FROM edge",
+    "shared_title_table": f"{_graph_sql(SHARED_SQL)} SELECT title, id, kind FROM titles",
+    "shared_title_pages": f"{_graph_sql(SHARED_SQL)} SELECT id, title FROM vertex",
+    "shared_title_counts": f"{_graph_sql(SHARED_SQL)} {_COUNTS}",
+    "random_pages": _sql("SELECT id, title FROM vertex ORDER BY md5('7:' || CAST(id AS VARCHAR)), id LIMIT 5"),
+    "title_suggestions": _sql(
+        """SELECT title, t.id, CAST(levenshtein(lower(title), 'item_12') AS INTEGER) AS distance, round(rank, 10) AS rank FROM titles t JOIN r10 r ON r.id = t.id
+WHERE levenshtein(lower(title), 'item_12') <= 1 ORDER BY distance, round(rank, 10) DESC, title LIMIT 10""",
+        _rank_sql(TURNS),
+    ),
+    "cached_paths": _sql(
+        """SELECT 'answers' AS list, low AS src, high AS dst, CAST((SELECT level FROM down WHERE id = high) AS INTEGER) AS hops FROM ends
+UNION ALL SELECT 'answers', low, low, 0 FROM ends
+UNION ALL SELECT 'longest', low, high, CAST((SELECT level FROM down WHERE id = high) AS INTEGER) FROM ends WHERE (SELECT level FROM down WHERE id = high) >= 2
+UNION ALL SELECT 'longest', high, low, CAST((SELECT level FROM back WHERE id = low) AS INTEGER) FROM ends WHERE (SELECT level FROM back WHERE id = low) >= 2""",
+        _levels("down", "low") + _levels("back", "high"),
+    ),
+    "recent_searches": _sql(
+        """SELECT low AS src, high AS dst, CAST((SELECT level FROM down WHERE id = high) AS INTEGER) AS hops FROM ends WHERE high IN (SELECT id FROM down)
+UNION ALL SELECT low, low, 0 FROM ends""",
+        _levels("down", "low"),
+    ),
+    "search_survey": _sql(
+        """SELECT p.src, p.dst, CASE WHEN l.level IS NULL THEN 'no_such_path' ELSE 'ok' END AS status, CAST(l.level AS INTEGER) AS hops
+FROM pairs p LEFT JOIN (SELECT start, id, min(level) AS level FROM far GROUP BY start, id) l ON l.start = p.src AND l.id = p.dst""",
+        """,
+drawn AS (SELECT id, row_number() OVER (ORDER BY md5('3:' || CAST(id AS VARCHAR)), id) AS k FROM vertex),
+pairs AS (SELECT a.id AS src, b.id AS dst FROM drawn a JOIN drawn b ON b.k = a.k + 2 WHERE a.k <= 2),
+far AS (
+  SELECT src AS start, src AS id, 0 AS level FROM pairs
+  UNION SELECT w.start, e.dst, w.level + 1 FROM far w JOIN edge e ON e.src = w.id WHERE w.level < 40)""",
+    ),
     "json_round_trip": _sql("SELECT src, dst FROM edge"),
     "dump_round_trip": _sql("SELECT src, dst FROM edge"),
 }
