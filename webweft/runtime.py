@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("webweft.scratch.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="webweft-")
         spark.conf.set("webweft.scratch.dir", base)
     if sc.getCheckpointDir() is None:
@@ -68,16 +72,18 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more;
-    else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
+    """Send this package's modules to the Python workers, once for each application."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_webweft_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="webweft-code-"))  # the driver's own; Spark serves the file from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "webweft.zip", "w") as out:
+        for path in sorted((root / "webweft").rglob("*.py")) + sorted(root.glob("corpus_pipeline.py")):
+            out.write(path, path.relative_to(root))
+    sc.addPyFile(str(folder / "webweft.zip"))
+    sc._webweft_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
