@@ -1,7 +1,11 @@
 """A corpus pipeline: toxicity, line dedup, n-gram dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next stage's documents.
+as Parquet and read again as the next stage's documents. All but the last return the
+columns of documents, whatever further columns come in, and the last one a row for
+each piece of a document. Texts of any length are read whole. Rows that repeat a
+doc_id, or have none, are documents of their own unless a stage says otherwise. Empty
+tables go through all stages and give no rows.
 """
 
 from __future__ import annotations
@@ -16,23 +20,32 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic."""
+    """Documents not predicted toxic, whole and unchanged. Null and empty texts are scored
+    by the model's bias; rows alike tie, and stay or go together. Null labels, and labels
+    without a document, are not learnt from; without labels every document stays."""
     return toxicity.drop_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a smaller document holds."""
+    """All documents, without the lines that a smaller document holds. Null text stays
+    null, and a document without an id keeps its lines; rows that share an id are one
+    document. A document of which every line goes stays, with an empty text: which
+    documents go is for the filtering stages to say. n_chars is counted anew."""
     kept = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that with the smallest id. Texts that are
+    null, empty or without words link with nothing and stay, and so do rows without an id
+    and rows that repeat the id that is kept."""
     return jaccard_join.keep_one(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix."""
+    """All documents, whole, in the order of the slots in which they begin in the mix.
+    A null source is a source of its own; null texts take no room. Documents tie only
+    where an empty one begins where its predecessor ended."""
     return mixing.mixed_order(docs.select(*COLUMNS))
 
 
@@ -52,7 +65,8 @@ def written_order(docs: DataFrame) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences, which
-    follow the order in which the mix was written."""
+    follow the order in which the mix was written. Null and empty texts are a piece of
+    the end id alone."""
     return packing.pack(written_order(docs), position="_position")
 
 
