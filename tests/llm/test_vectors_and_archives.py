@@ -66,6 +66,32 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, window, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("lean", [0.0, 1.5])
+def test_passes_find_lone_pairs_far_apart_in_small_windows(spark, lean):
+    """Thousands of vectors of one label, also leaning one way, and windows of 64: no link is lost."""
+    rng = np.random.default_rng(9)
+    own = rng.standard_normal((4000, 24)) + lean
+    near = own[:200] + rng.standard_normal((200, 24)) * 0.19 * np.linalg.norm(own[:200], axis=1, keepdims=True) / np.sqrt(24) * rng.uniform(0.5, 1.1, (200, 1))
+    rows = np.concatenate([own, near]).astype(np.float32).astype(float)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table, window=64).collect()}
+    assert linked.sum() > 150
+    assert [got[i]["n_links"] for i in range(len(rows))] == linked.sum(axis=1).tolist()
+
+
+def test_doubtful_cosines_are_decided_in_one_order():
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((300, 64))
+    cosine = lambda a, b: float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)))
+    threshold = cosine(rows[0], rows[1])
+    for size in (2, 7, 300):
+        here = embedding_dedup.linked(rows[:size], threshold)
+        assert here[0, 1] == here[1, 0] == embedding_dedup.linked(rows[:2], threshold)[0, 1]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert embedding_dedup.near_duplicates(vectors_of(spark, [])).count() == 0
 
@@ -82,9 +108,9 @@ def brute_nearest(rows, own, query, k):
 
 
 def test_search_recall_and_scores(spark):
-    rows = clusters(1, 600) + ODD[:8]
+    rows = clusters(1, 600) + ODD[:8] + [(None, [1.0] * 16, 1)]
     table = vectors_of(spark, rows)
-    queries = [r for r in rows if r[0] % 50 == 0 and r[1] and len(r[1]) == 16 and r[0] < 1000]
+    queries = [r for r in rows if r[0] is not None and r[0] % 50 == 0 and r[1] and len(r[1]) == 16 and r[0] < 1000]
     got = {}
     for r in ann.search(table, table.where("vec_id % 50 = 0 and vec_id < 1000")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -100,6 +126,46 @@ def test_search_recall_and_scores(spark):
     assert hits >= 0.9 * 5 * len(queries)
 
 
+def test_share_of_rows_visited_falls_as_rows_grow():
+    """Unstructured vectors, the hardest case: recall of 0.9 and more, and the share of rows reranked."""
+    rng, shares = np.random.default_rng(1), []
+    for n in (2000, 50_000):
+        rows = ann.unit(rng.standard_normal((n, 64)))
+        asked = rng.choice(n, 30, replace=False)
+        cosines = rows[asked] @ rows.T
+        cosines[np.arange(30), asked] = -2
+        best = np.sort(cosines, axis=1)[:, -5:].ravel()
+        buckets = ann.Buckets(rows, ann.TABLES, ann.projections_for(n))
+        hits, seen = 0, 0
+        for q, own in zip(asked, cosines):
+            visited = buckets.visited(rows[q], rng.choice(best, ann.DRAWS), ann.TARGET)
+            hits, seen = hits + np.isin(np.argsort(-own)[:5], visited).sum(), seen + len(visited)
+        assert hits >= 0.9 * 150
+        shares.append(seen / n / 30)
+    assert shares[1] < 0.2 < shares[0]
+
+
+def test_zones_cover_near_neighbours(spark):
+    rows = clusters(1, 600)
+    table = vectors_of(spark, rows)
+    found = {}
+    for r in ann.search(table, table.where("vec_id % 50 = 0"), zone_rows=64).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found[own] & {w[0] for w in brute_nearest(rows, own, v, 5)}) for own, v, _ in rows if own % 50 == 0)
+    assert hits >= 0.9 * 5 * 12
+
+
+def test_queries_with_too_few_found_are_searched_against_all(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(16)], 1) for i in range(200)]
+    table, got = vectors_of(spark, rows), {}
+    for r in ann.search(table, table.where("vec_id % 50 = 0"), target=1e-12, zone_rows=32).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(got) == {0, 50, 100, 150}
+    for own, found in got.items():
+        assert [v for _, v in sorted(found)] == [w[0] for w in brute_nearest(rows, own, rows[own][1], 5)]
+
+
 def test_search_with_few_candidates_and_ties(spark):
     table = vectors_of(spark, [(0, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (3, [4.0, 0.0], 1), (9, [-1.0, 0.0], 1), (9, [-1.0, 0.0], 1)])
     got = ann.search(table, table.where("vec_id = 0")).orderBy("rank").collect()
@@ -146,6 +212,16 @@ def test_filters_reach_the_scan(spark, tmp_path):
         assert len(list(warc.records(io.BytesIO(raw), wanted, False))) == 1
 
 
+def test_folders_within_folders_and_members_without_notes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(6)], "page_id long, url string, html string")
+    warc.write_pages(pages.where("page_id < 3"), str(tmp_path / "w" / "a"))
+    warc.write_pages(pages.where("page_id >= 3"), str(tmp_path / "w" / "b"))
+    assert sorted(r["page_id"] for r in warc.read_pages(spark, str(tmp_path / "w")).collect()) == list(range(6))
+    record = lambda i: warc.page_record(i, "u", b"x" * i, None, False)
+    raw = warc._member(record(1), 4) + gzip.compress(record(2)) + warc._member(record(3), 4)
+    assert [len(b.partition(b"\r\n\r\n")[2]) for _, b in warc.records(io.BytesIO(raw), lambda h: True, True)] == [1, 2, 3]
+
+
 def test_a_damaged_payload_is_noticed(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "abc" * 50)], "page_id long, url string, html string")
     warc.write_pages(pages, str(tmp_path / "w"))
