@@ -620,15 +620,20 @@ class _Join:
         two = held.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
         close = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(_may_link(self.percent), "a long, b long")
         close = materialize(close, f"jaccard-{label}-pairs")
+        count = close.count()
+        if not count:
+            return close
         # Pairs go to the task of their first class; a class of many pairs is dealt to several.
-        many = close.groupBy("a").count().where(F.col("count") > TASK_DOCS).select("a", F.ceil(F.col("count") / TASK_DOCS).cast("int").alias("parts"))
-        spread = max(1, math.ceil(close.count() / TASK_DOCS)) * 4
-        dealt = close.join(many, "a", "left").select(
+        spread = math.ceil(count / TASK_DOCS) * 4
+        dealt = close.withColumn("parts", F.lit(None).cast("int"))
+        if count > TASK_DOCS:
+            many = close.groupBy("a").count().where(F.col("count") > TASK_DOCS).select("a", F.ceil(F.col("count") / TASK_DOCS).cast("int").alias("parts"))
+            dealt = materialize(close.join(many, "a", "left"), f"jaccard-{label}-dealt")
+        dealt = dealt.select(
             "a", "b",
             F.when(F.col("parts").isNull(), F.expr(f"pmod(xxhash64(a), {spread})")).otherwise(F.col("a")).alias("task"),
             F.expr("case when parts is null then -1 else cast(pmod(xxhash64(b), parts) as int) end").alias("part"),
         )
-        dealt = materialize(dealt, f"jaccard-{label}-dealt")
         texts = materialize(self.texts_of(dealt.select(F.col("a").alias("cls")).unionByName(dealt.select(F.col("b").alias("cls")))), f"jaccard-{label}-texts")
         to = dealt.select("task", "part", F.col("a").alias("cls")).unionByName(dealt.select("task", "part", F.col("b").alias("cls"))).distinct()
         sent = to.join(texts, "cls").select("task", "part", "cls", "_text")
@@ -639,6 +644,9 @@ class _Join:
         """Links that join components among the classes ``cls`` that share a ``key`` or
         are connected by shared keys, compared block by block: sketches of all, sets of
         the classes that sketches leave in doubt."""
+        members = materialize(members, "jaccard-members")
+        if members.isEmpty():
+            return self.spark.createDataFrame([], "a long, b long")
         least = members.groupBy("key").agg(F.min("cls").alias("_least"))
         edges = members.join(least, "key").where("cls <> _least").select(F.col("cls").alias("a"), F.col("_least").alias("b"))
         crowds = materialize(components(edges, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("crowd")), "jaccard-crowds")
@@ -704,6 +712,8 @@ def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, perc
     differ = F.expr(f"cast(floor({100 - percent} * (n + least(floor(factor * n / 100), cap)) / {100 + percent}) as int)")
     unsure = unsure.where((F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("segments") - F.col("count") <= differ))
     unsure = materialize(unsure.select("cls", "band", "common"), "jaccard-unsure")
+    if unsure.isEmpty():  # rare keys are enough for all
+        return first.unionByName(join.links(materialize(pairs, "jaccard-close"), "close"))
     widened = unsure.join(join.texts_of(unsure), "cls").select("cls", "band", "common", "_text").mapInPandas(_widen(percent, tasks), "task long, kind int, data binary")
     widened = materialize(widened.groupBy("task").applyInPandas(_meet_widened, "kind int, a long, b long"), "jaccard-widened")
 
