@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webweft.runtime import discard, materialize, scratch_path
@@ -40,19 +40,19 @@ def redirect_closure(page: DataFrame, redirect: DataFrame) -> DataFrame:
     spark = page.sparkSession
     articles = page.where("NOT is_redirect").select(F.col("page_id").alias("_id"))
     steps = redirect_targets(page, redirect).where("target IS NOT NULL")
-    path = scratch_path(spark, "closure")
-    steps.join(articles, F.col("target") == F.col("_id"), "left").select("id", "target", F.col("_id").isNotNull().alias("done")).write.parquet(path)
+    path, seen = scratch_path(spark, "closure"), Observation()
+    count = F.count_if("done").alias("done")  # observed while a round's pointers are written
+    steps.join(articles, F.col("target") == F.col("_id"), "left").select("id", "target", F.col("_id").isNotNull().alias("done")).observe(seen, count).write.parquet(path)
     settled = -1
     while True:
-        now = spark.read.parquet(path)
-        count = now.where("done").count()
-        if count == settled:
+        now = spark.read.schema("id long, target long, done boolean").parquet(path)
+        if (seen.get["done"] or 0) == settled:
             return now.where("done").select("id", "target")
-        settled = count
+        settled = seen.get["done"] or 0
         ahead = now.select(F.col("id").alias("_at"), F.col("target").alias("_next"), F.col("done").alias("_done"))
         jumped = now.join(ahead, ~F.col("done") & (F.col("target") == F.col("_at")), "left").select("id", F.coalesce("_next", "target").alias("target"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done"))
-        path, old = scratch_path(spark, "closure"), path
-        jumped.write.parquet(path)
+        path, old, seen = scratch_path(spark, "closure"), path, Observation()
+        jumped.observe(seen, count).write.parquet(path)
         discard(spark, old)
 
 
