@@ -117,6 +117,7 @@ def mix(
     source: str = "source",
     key: str = "doc_id",
     text: str = "text",
+    with_text: bool = True,
 ) -> DataFrame:
     """The mixed stream: one row for each piece of each of ``docs``, its own columns
     with the piece's part of the text, and the columns ``PLACES``.
@@ -127,7 +128,8 @@ def mix(
     the piece lies in, at ``mix_offset`` characters, ``mix_chars`` its length;
     ``mix_start`` counts the characters of the source before the document. Every
     character stays: a source that runs out leaves its slots unused, and the others
-    go on in their proportions. A document of any length is cut in one pass.
+    go on in their proportions. A document of any length is cut in one pass. Without
+    ``with_text`` the texts are left out, and only their lengths and hashes are shuffled.
 
     A null source is a source of its own, with the default weight; null text is
     empty, and empty documents are one piece, where their predecessor ended; a null
@@ -135,13 +137,17 @@ def mix(
     interchangeable, and so are ties of hashes between them. Columns named like the
     results are replaced; an empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in PLACES]
-    b = int(block_chars)
+    b, own = int(block_chars), [c for c in docs.columns if c not in PLACES]
     rows = _started(docs.select(*own), weights, default_weight, b, source, key, text)
-    rows = rows.withColumn("_text", F.col(text).cast("string")).withColumn("_head", F.expr(f"cast(least(_n, (_first + 1) * {b} - mix_start) as int)"))
-    rest = F.expr(f"regexp_extract_all(substring(_text, _head + 1), '(?s).{{1,{b}}}', 0)")
-    rows = rows.withColumn("_parts", F.concat(F.array(F.expr("substring(_text, 1, _head)")), F.coalesce(rest, F.array().cast("array<string>"))))
-    cut = rows.select(*(c for c in rows.columns if c not in (text, "_text", "_parts")), F.posexplode_outer("_parts").alias("mix_piece", "_part"))
+    kept = [c for c in rows.columns if c != text]
+    if with_text:
+        rows = rows.withColumn("_text", F.col(text).cast("string")).withColumn("_head", F.expr(f"cast(least(_n, (_first + 1) * {b} - mix_start) as int)"))
+        rest = F.expr(f"regexp_extract_all(substring(_text, _head + 1), '(?s).{{1,{b}}}', 0)")
+        parts = F.concat(F.array(F.expr("substring(_text, 1, _head)")), F.coalesce(rest, F.array().cast("array<string>")))
+        cut = rows.withColumn("_parts", parts).select(*kept, F.posexplode_outer("_parts").alias("mix_piece", "_part"))
+    else:
+        own = [c for c in own if c != text]
+        cut = rows.select(*kept, F.explode(F.expr(f"sequence(0, cast(greatest(mix_start, mix_start + _n - 1) div {b} - _first as int))")).alias("mix_piece"))
     cut = cut.withColumn("mix_block", F.expr("_first + mix_piece"))
     at = F.greatest(F.col("mix_start"), F.expr(f"mix_block * {b}"))
     return cut.select(

@@ -57,7 +57,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(rows).drop("text")
+    return mixing.mix(rows, with_text=False)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
