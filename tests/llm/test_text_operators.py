@@ -295,6 +295,8 @@ def test_mixing_keeps_every_character(spark, odd, monkeypatch, broadcast):
     assert sorted(map(repr, whole)) == sorted(repr((str(d), t)) for d, t, *_ in odd)
     assert sorted(str(r["doc_id"]) for r in got if r["mix_piece"] == 0) == sorted(str(r[0]) for r in odd)
     assert sum(r["mix_chars"] for r in got) == sum(len(r[1] or "") for r in odd)
+    without = mixing.mix(docs, {"a": 6, "b": 4}, default_weight=2, block_chars=50, with_text=False)
+    assert sorted(map(repr, without.collect())) == sorted(repr(r) for r in mixing.mix(docs, {"a": 6, "b": 4}, default_weight=2, block_chars=50).drop("text").collect())
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert mixing.mixed_order(docs).columns == docs.columns
     with pytest.raises(ValueError):
