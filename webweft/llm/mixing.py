@@ -90,7 +90,7 @@ def _started(docs: DataFrame, weights: dict[str, int] | None, default_weight: in
     )
     # Running sums in three steps, so that no task holds a whole source.
     within = Window.partitionBy("_src", "_range").orderBy("_h", F.col(key), content).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("_src", "_range").agg(F.sum("_n").alias("_sum")).withColumn("_wide", F.expr(f"_range >> {RANGE_BITS}"))
+    ranges = materialize(rows.groupBy("_src", "_range").agg(F.sum("_n").alias("_sum")), "mix-ranges").withColumn("_wide", F.expr(f"_range >> {RANGE_BITS}"))
     inside = Window.partitionBy("_src", "_wide").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy("_src").orderBy("_wide").rowsBetween(Window.unboundedPreceding, -1)
     wide = ranges.groupBy("_src", "_wide").agg(F.sum("_sum").alias("_sum")).select("_src", "_wide", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_above"))
@@ -98,7 +98,7 @@ def _started(docs: DataFrame, weights: dict[str, int] | None, default_weight: in
     ranges = ranges.select(F.col("_src").alias("_src2"), F.col("_range").alias("_range2"), (F.col("_inside") + F.col("_above")).alias("_before"))
     return (
         rows.withColumn("_in", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .join(ranges, (F.col("_src") == F.col("_src2")) & (F.col("_range") == F.col("_range2")))
+        .join(ranges, F.col("_src").eqNullSafe(F.col("_src2")) & F.col("_range").eqNullSafe(F.col("_range2")))  # never null, and so not tested for it
         .join(calendar, F.col("_src") == F.col("_s"))
         .withColumn("mix_start", F.col("_before") + F.col("_in"))
         .withColumn("_first", F.expr(f"mix_start div {int(block_chars)}"))
