@@ -519,6 +519,40 @@ def test_deduction_against_brute_force(spark):
     assert any(own[0] in text for _, _, text in parts) and len({(c, g) for c, g, _ in parts}) >= 3
 
 
+def test_pages_with_articles_are_read_by_slots_too(spark):
+    own = [[words(12, 300 + 3 * i + k) for k in range(3)] for i in range(12)]
+    rows = [(i, f"http://art.example/{i}", f"<body><div>Daily news of the town</div><article><h1>{a}</h1><p>{b}</p></article><div>{c}</div><p>All rights reserved</p></body>") for i, (a, b, c) in enumerate(own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_text.template_tokens(df.selectExpr("'h' as host", "xxhash64(html) as row", "html")).collect()
+    code = lambda path, word: html_text._code("text", path, word) | 1
+    assert {code("/body/div", w) for w in "Daily news of the town".split()} <= {r["token"] for r in found}
+    parts = html_text.slots(rows[0][2], {r["token"]: (r["class"], r["rank"]) for r in found}, {r["class"]: (r["parent"], r["gap"]) for r in found if r["parent"] is not None})
+    assert [text for _, _, text in parts] == own[0] and len({at[:2] for at in parts}) == 3
+    assert {r["page_id"]: r["text"] for r in html_text.extract_pages(df).collect()} == {i: f"{a}\n{b}" for i, (a, b, _) in enumerate(own)}
+
+
+def test_template_words_out_of_place_are_the_pages_own(spark):
+    base = words(80, 77)
+    rows = [(i, f"http://stray.example/{i}", f"<body><p>Sold by the same shop</p><div>{words(40, 800 + i)}</div><i>Imprint</i></body>") for i in range(12)]
+    # A near copy, so not one of the pages that the template is deduced from, and one that holds a part of it only.
+    rows += [(20, "http://stray.example/20", f"<body><p>Sold by the same shop</p><div>{base}</div><i>Imprint</i></body>")]
+    rows += [(k, f"http://stray.example/{k}", f"<body><p>Sold by the same shop</p><div>{base}</div><i>Imprint</i><p>by the shop</p></body>") for k in (21, 22)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_pages(df).collect()}
+    for k in (21, 22):
+        assert got[k] == f"{base}\nby the shop"
+    assert got[3] == words(40, 803)
+
+
+def test_places_of_a_template():
+    template, around = {2: (7, 1), 4: (7, 2), 6: (7, 3), 8: (9, 1), 10: (9, 2)}, {9: (7, 1)}
+    assert html_text.in_place([2, 8, 10, 4, 6], template, around) == {0: (7, 1), 1: (9, 1), 2: (9, 2), 3: (7, 2), 4: (7, 3)}
+    assert set(html_text.in_place([8, 2, 8, 10, 4, 8, 10, 6, 2], template, around)) == {1, 2, 3, 4, 7}  # before, in another gap, after
+    assert set(html_text.in_place([2, 2, 4, 4, 6, 6], template, {})) == {1, 2, 4}
+    assert html_text.in_place([2, 4, 2, 8], template, around) == {}
+    assert set(html_text.in_place([8, 10, 2], template, around)) == {0, 1}  # without the class around it
+
+
 def test_order_and_nesting_of_classes():
     classes = {2: (7, 1), 4: (7, 2), 6: (7, 3), 8: (9, 1), 10: (9, 2)}
     assert html_text.disordered([2, 4, 6], classes) == set()

@@ -1,20 +1,23 @@
-"""Main text of pages by template deduction from equivalence classes, and element rules.
-
-Elements that are page furniture by name, role, class name or id are dropped with
-what they hold; of a page with an article or main element only that is read, whole.
-
-On the hosts that have other pages, the template is deduced from the pages. Tokens
-are tags and the words between them, told apart by the elements they stand in. For
-each token of a host an aggregation gives the number of pages that hold it and a hash
-of its occurrence vector, that is of how often it occurs on which page. Tokens with
-equal vectors form a class, if enough pages have them and a tag is among them. On the
+"""Main text of pages from the slots of templates deduced by equivalence classes.
+
+The template of each host is deduced from all its pages. Tokens are tags and the
+words between them, told apart by the elements they stand in; what page furniture
+holds, by element name, role, class name or id, is none, and words of an article or
+main element are never template. For each token of a host an aggregation gives the
+number of pages that hold it and a hash of its occurrence vector, that is of how often
+it occurs on which page. Tokens with equal vectors form a class, if enough pages have them and a tag is among them. On the
 pages themselves a class is then tested for order: its tokens follow one another in
 one order, round after round; tokens that do not are put aside, and a class that
 repeats in another order with them. Two classes nest if on all pages the one lies in
 one and the same gap of the other, or outside; of two that do not, the one on fewer
 pages is put aside. The classes left are the template, each in the gap of the class
-around it. What a page holds beside its template's tokens stands in slots, the gaps
-of the innermost class around it, and the texts of the slots are the page's.
+around it.
+
+Each page is then read along its host's template, outer classes first: a class is
+there where its tokens follow one another, all of them, in the gap of the class around
+it; its tokens elsewhere are the page's own. What stands beside the template is in
+slots, the gaps of the innermost class around it. The main text is that of the slots
+in an article or main element if the page has one, else of all.
 """
 
 from __future__ import annotations
@@ -72,7 +75,6 @@ HINTS = frozenset(
     "skip-link copyright disclaimer".split()
 )
 _OWN = frozenset(["article", "main"])
-_MAY_HOLD = re.compile(r"<(?:article|main)[\s/>]", re.I)
 _RUNS = re.compile(r"\s+|\S+")
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -225,7 +227,6 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """host, token, pages, vector, place: of what this task has seen of a token, the
     pages it is on, a sum of hashes of (page, times), and a sum of its relative places."""
     held: dict[tuple[str, int], list] = {}
-    known: dict = {}
 
     def flush() -> pd.DataFrame:
         rows = [(h, t, *v) for (h, t), v in held.items()]
@@ -233,10 +234,8 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(rows, columns=["host", "token", "pages", "times", "vector", "place"])
 
     for batch in batches:
-        for host, row, page in zip(batch["host"], batch["row"], batch["html"]):
-            codes = tokens_coded(list(tokens_of(page)), known)
-            if len(known) > HELD_TOKENS:
-                known.clear()
+        for host, row, codes in zip(batch["host"], batch["row"], batch["codes"]):
+            codes = codes.tolist()
             counts = Counter(codes)
             first = dict(zip(reversed(codes), range(len(codes) - 1, -1, -1)))
             for code, times in counts.items():
@@ -320,18 +319,15 @@ def _tested(test):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, dict] = {}
-        known: dict = {}
         for batch in batches:
             found: set = set()
-            for host, page, *template in zip(*(batch[c] for c in ("host", "html", "token", "class", "rank"))):
+            for host, codes, *template in zip(*(batch[c] for c in ("host", "codes", "token", "class", "rank"))):
                 if host not in held:
                     if len(held) > 100:
                         held.clear()
                     tokens, classes, ranks = (np.asarray(x).tolist() for x in template)
                     held[host] = dict(zip(tokens, zip(classes, ranks)))
-                if len(known) > HELD_TOKENS:
-                    known.clear()
-                found.update((host, *x) for x in test(tokens_coded(list(tokens_of(page)), known), held[host]))
+                found.update((host, *x) for x in test(codes.tolist(), held[host]))
             if found:
                 yield pd.DataFrame(list(found), columns=["host", *_RESULT[test]])
 
@@ -347,31 +343,33 @@ _RESULT = {_broken: ["token"], relations: ["class", "other", "gap"]}
 
 def _sketch(text: str) -> bytes:
     """Minimum hashes of the text's pairs of words."""
-    words = text.split()
-    pairs = {xxhash.xxh3_64_intdigest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:] or [""])} or {0}
-    hashes = np.fromiter(pairs, np.uint64, len(pairs))[:, None] * _FACTORS
-    return (hashes >> np.uint64(32)).min(axis=0).astype("<u4").tobytes()
+    words = pd.util.hash_array(np.array(text.split() or [""], object), categorize=False)
+    pairs = words[:-1] * _FACTORS[0] + words[1:] if len(words) > 1 else words
+    least = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for at in range(0, len(pairs), 8192):
+        least = np.minimum(least, (pairs[at : at + 8192, None] * _FACTORS >> np.uint64(32)).min(axis=0))
+    return least.astype("<u4").tobytes()
 
 
-def _open_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hosts of pages without an article or main element outside furniture."""
-    for batch in batches:
-        hosts = {host for host, page in zip(batch["host"], batch["html"]) if not _MAY_HOLD.search(page) or not _has_article(list(tokens_of(page)))}
-        if hosts:
-            yield pd.DataFrame({"host": list(hosts)})
-
-
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each page the sketch of its text and the codes of its tokens."""
+    known: dict = {}
     for batch in batches:
-        rows = [(host, row, _sketch(_extract(list(tokens_of(page)), frozenset()))) for host, row, page in zip(batch["host"], batch["row"], batch["html"])]
-        yield pd.DataFrame(rows, columns=["host", "row", "sketch"])
+        sketches, codes = [], []
+        for page in batch["html"]:
+            tokens = list(tokens_of(page))
+            sketches.append(_sketch(_extract(tokens, {}, {})))
+            codes.append(tokens_coded(tokens, known))
+            if len(known) > HELD_TOKENS:
+                known.clear()
+        yield pd.DataFrame({"host": batch["host"], "row": batch["row"], "sketch": sketches, "codes": codes})
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     width = 4 * BAND_ROWS
     for batch in batches:
-        rows = [(_code(host, str(n), sketch[n * width : (n + 1) * width].hex()), node, sketch) for host, node, sketch in zip(batch["host"], batch["node"], batch["sketch"]) for n in range(BANDS)]
-        yield pd.DataFrame(rows, columns=["band", "node", "sketch"])
+        rows = [(_code(host, str(n), sketch[n * width : (n + 1) * width].hex()), node) for host, node, sketch in zip(batch["host"], batch["node"], batch["sketch"]) for n in range(BANDS)]
+        yield pd.DataFrame(rows, columns=["band", "node"])
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -381,15 +379,17 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def representatives(pages: DataFrame) -> DataFrame:
-    """``host, row``: one page of each class of near copies."""
-    seen = pages.select("host", "row", "html").mapInPandas(_sketches, "host string, row long, sketch binary")
-    rows = materialize(seen.dropDuplicates(["host", "row"]).withColumn("node", F.xxhash64("host", "row")), "page-rows")
-    bands = rows.select("host", "node", "sketch").mapInPandas(_bands, "band long, node long, sketch binary")
+    """The rows of one page of each class of near copies; ``pages`` has host, row and
+    sketch, and rows with equal host and row are one page."""
+    rows = pages.withColumn("node", F.xxhash64("host", "row"))
+    bands = rows.select("host", "node", "sketch").mapInPandas(_bands, "band long, node long")
     firsts = bands.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band", "first")
-    held = rows.select(F.col("node").alias("first"), F.col("sketch").alias("first_sketch"))
-    pairs = bands.join(firsts, "band").where("first <> node").select("first", "node", "sketch").dropDuplicates(["first", "node"]).join(held, "first")
-    found = components(pairs.mapInPandas(_near, "first long, node long"), "first", "node")
-    return rows.join(found.where("node <> component").select("node"), "node", "left_anti").select("host", "row")
+    pairs = materialize(bands.join(firsts, "band").where("first <> node").select("first", "node").distinct(), "page-pairs")
+    ends = pairs.select("node").unionByName(pairs.select(F.col("first").alias("node"))).distinct()
+    held = rows.select("node", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(held, "node").join(held.select(F.col("node").alias("first"), F.col("sketch").alias("first_sketch")), "first")
+    found = components(both.mapInPandas(_near, "first long, node long"), "first", "node")
+    return rows.join(found.where("node <> component").select("node"), "node", "left_anti").drop("node").dropDuplicates(["host", "row"])
 
 
 def _classes(tokens: DataFrame) -> DataFrame:
@@ -406,20 +406,17 @@ def _by_host(tokens: DataFrame) -> DataFrame:
 
 
 def template_tokens(pages: DataFrame) -> DataFrame:
-    """``host, token, class, rank, pages, parent, gap``: the template of each host that
-    has pages without an article. ``parent`` is the class around a class, null at the
-    top, and ``gap`` the rank of the parent's token before it.
+    """``host, token, class, rank, pages, parent, gap``: the template of each host.
+    ``parent`` is the class around a class, null at the top, and ``gap`` the rank of the
+    parent's token before it. Hosts of fewer pages than MIN_SUPPORT, near copies not
+    counted, have none: all their pages hold is in one slot.
 
-    ``pages`` has host, row and html. Sketches of pages and totals of tokens are
-    shuffled, and the pages of such hosts that stand for their near copies.
+    ``pages`` has host, row and html. Sketches and tokens of pages as codes are written
+    and shuffled, no texts.
     """
-    hosts = materialize(pages.select("host", "html").mapInPandas(_open_pages, "host string").distinct(), "page-hosts")
-    if hosts.isEmpty():
-        return pages.sparkSession.createDataFrame([], "host string, token long, class long, rank int, pages long, parent long, gap int")
-    pages = pages.select("host", "row", "html").join(hosts, "host", "left_semi")
-    chosen = materialize(representatives(pages), "page-representatives")
-    totals = chosen.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= MIN_SUPPORT)
-    own = materialize(pages.join(chosen.join(totals, "host", "left_semi"), ["host", "row"], "left_semi").dropDuplicates(["host", "row"]), "page-own")
+    skeletons = materialize(pages.select("host", "row", "html").mapInPandas(_skeletons, "host string, row long, sketch binary, codes array<long>"), "page-skeletons")
+    own = materialize(representatives(skeletons).select("host", "row", "codes"), "page-own")
+    totals = own.groupBy("host").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= MIN_SUPPORT)
     seen = own.mapInPandas(_occurrences, "host string, token long, pages long, times long, vector long, place double")
     tokens = seen.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "times", "vector", "place"))).join(totals, "host")
     tokens = tokens.where((F.col("pages") >= MIN_SUPPORT) & (F.col("pages") >= MIN_SHARE * F.col("total")))
@@ -447,38 +444,124 @@ def _has_article(tokens: list) -> bool:
     return any(kind == "tag" and value in ("article", "main") and not marked for kind, value, _, marked in tokens)
 
 
-def slots(page: str, template: dict[int, tuple[int, int]]) -> list[tuple[int | None, int | None, str]]:
-    """(class, gap, text) of what a page without an article holds beside its template's
-    tokens, in page order. ``template`` gives each token's class and rank; the class is
-    that of the last template token before, None where there is none."""
+def in_place(codes: list[int], template: dict[int, tuple[int, int]], around: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
+    """Class and rank of the tokens of a page that are its template's, by their place.
+
+    ``template`` gives each token's class and rank, ``around`` the class around a class
+    and the gap there. Of a class whole rounds count, in the order of its ranks and in
+    that gap if the class around it is on the page; other occurrences are the page's own."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for place, code in enumerate(codes):
+        if code in template:
+            name, rank = template[code]
+            found.setdefault(name, []).append((place, rank))
+    if not found:
+        return {}
+    order: dict[int, list[int]] = {}
+    for name, rank in template.values():
+        if name in found:
+            order.setdefault(name, []).append(rank)
+    rounds: dict[int, list[tuple[int, int]]] = {}
+
+    def read(name: int) -> list[tuple[int, int]]:
+        here, ranks = found[name], sorted(order[name])
+        parent, gap = around.get(name, (None, None))
+        if parent in found and (theirs := rounds.get(parent)):
+            at = [p for p, _ in theirs]
+            here = [(p, r) for p, r in here if (k := bisect_left(at, p)) and theirs[k - 1][1] == gap]
+        if [r for _, r in here] == ranks * (len(here) // len(ranks)):
+            return here
+        out: list[tuple[int, int]] = []
+        begin = 0
+        while (end := _round(here, ranks, begin)) is not None:
+            start, back = end, len(ranks) - 1  # the latest start of a round that ends here
+            while back:
+                start -= 1
+                back -= here[start][1] == ranks[back - 1]
+            for p, r in here[start : end + 1]:
+                if r == ranks[back]:
+                    out.append((p, r))
+                    back += 1
+                    if back == len(ranks):
+                        break
+            begin = end + 1
+        return out
+
+    for name in found:  # outer classes first
+        chain = [name]
+        while (parent := around.get(chain[-1], (None, None))[0]) in found and parent not in rounds and parent not in chain:
+            chain.append(parent)
+        for each in reversed(chain):
+            if each not in rounds:
+                rounds[each] = read(each)
+    return {place: (name, rank) for name, kept in rounds.items() for place, rank in kept}
+
+
+def _round(here: list[tuple[int, int]], ranks: list[int], begin: int) -> int | None:
+    """Where the first whole round from ``begin`` on ends."""
+    wanted = 0
+    for k in range(begin, len(here)):
+        wanted += here[k][1] == ranks[wanted]
+        if wanted == len(ranks):
+            return k
+    return None
+
+
+def _slotted(tokens: list, template: dict, around: dict, known: dict | None = None) -> Iterator[tuple[tuple[int | None, int | None], bool, str] | None]:
+    """Slot, whether in an article or main element, and text of what a page holds beside
+    its template's tokens, in page order; None where a block begins or ends. A slot is
+    the class and rank of the last template token before, None where there is none."""
+    places = in_place(tokens_coded(tokens, known), template, around) if template else {}
     at: tuple[int | None, int | None] = (None, None)
-    out: list[tuple[int | None, int | None, str]] = []
-    for kind, value, path, marked in tokens_of(page):
-        if marked:
+    number = 0
+    for kind, value, path, marked in tokens:
+        if kind == "tag":
+            if not marked:
+                at, number = places.get(number, at), number + 1
+            if value.lstrip("/") in BLOCK:
+                yield None
+        elif marked:
             continue
-        for part in [value] if kind == "tag" else value.split():
-            code = _code(kind, path, part) & ~1 | (kind == "text")
-            if code in template:
-                at = template[code]
-            elif kind == "text":
-                if out and out[-1][:2] == at:
-                    out[-1] = (*at, f"{out[-1][2]} {part}")
+        elif not _OWN.isdisjoint(path.split("/")):
+            yield at, True, value
+        elif not places:
+            yield at, False, value
+        else:
+            for part in _RUNS.findall(value):
+                if part.isspace():
+                    yield at, False, part
+                    continue
+                if number in places:
+                    at = places[number]
                 else:
-                    out.append((*at, part))
-    return [(name, gap, _text(text)) for name, gap, text in out]
-
-
-def extract(page: str, template: frozenset | set = frozenset()) -> str:
-    """Main text of one page, given the codes of its host's template tokens.
-
-    Texts of an article or main element are never taken for template.
-    """
+                    yield at, False, part
+                number += 1
+
+
+def slots(page: str, template: dict[int, tuple[int, int]], around: dict[int, tuple[int, int]] | None = None) -> list[tuple[int | None, int | None, str]]:
+    """(class, gap, text) of what a page holds beside its template's tokens, in page
+    order. ``template`` gives each token's class and rank, ``around`` the class around a
+    class and the gap there."""
+    out: list[tuple[tuple[int | None, int | None], list[str]]] = []
+    for found in _slotted(list(tokens_of(page)), template, around or {}):
+        if found is None:
+            if out:
+                out[-1][1].append(" ")
+        elif out and out[-1][0] == found[0]:
+            out[-1][1].append(found[2])
+        elif not found[2].isspace():
+            out.append((found[0], [found[2]]))
+    return [(*at, " ".join(_text("".join(parts)).split())) for at, parts in out]
+
+
+def extract(page: str, template: dict[int, tuple[int, int]] | None = None, around: dict[int, tuple[int, int]] | None = None, known: dict | None = None) -> str:
+    """Main text of one page: of the slots that its host's template leaves."""
     tokens = list(tokens_of(page))
     # A page that is template throughout has no slots to tell from it.
-    return _extract(tokens, template) or _extract(tokens, frozenset())
+    return _extract(tokens, template or {}, around or {}, known) or _extract(tokens, {}, {})
 
 
-def _extract(tokens: list, template: frozenset | set) -> str:
+def _extract(tokens: list, template: dict, around: dict, known: dict | None = None) -> str:
     inside = _has_article(tokens)
     blocks, now = [], []
 
@@ -488,16 +571,11 @@ def _extract(tokens: list, template: frozenset | set) -> str:
             blocks.append(text)
         now.clear()
 
-    for kind, value, path, marked in tokens:
-        if kind == "tag":
-            if value.lstrip("/") in BLOCK:
-                close()
-            continue
-        if marked or inside and _OWN.isdisjoint(path.split("/")):
-            continue
-        if template and not inside:  # words that the template holds are no slot's
-            value = "".join(x for x in _RUNS.findall(value) if x.isspace() or _code("text", path, x) | 1 not in template)
-        now.append(value)
+    for found in _slotted(tokens, template, around, known):
+        if found is None:
+            close()
+        elif found[1] or not inside:
+            now.append(found[2])
     close()
     return "\n".join(blocks)
 
@@ -505,8 +583,8 @@ def _extract(tokens: list, template: frozenset | set) -> str:
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, url, text`` for each row of ``pages``.
 
-    The text is that of an article or main element if the page has one, else of
-    the body: blocks in page order joined by a newline, white space inside a block
+    The text is that of the slots which the host's template leaves in an article or
+    main element if the page has one, else in the body: blocks in page order joined by a newline, white space inside a block
     made one space, character references decoded. Null and empty html give an
     empty text; html of any length is read whole. A null url, or one without a host, belongs to the host ``""``.
     Rows that repeat a page are pages of their own. Other columns are ignored; an
@@ -518,24 +596,31 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
         F.coalesce(F.regexp_extract(F.lower(F.col(url).cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")).alias("host"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"),
     )
-    found = materialize(template_tokens(rows.withColumn("row", F.xxhash64("html"))).select("host", "token"), "templates")
-    templates = found.groupBy("host").agg(F.collect_list("token").alias("template"))
-    if found.count() <= BROADCAST_TOKENS:  # eight bytes a token and the hosts' names
+    found = materialize(template_tokens(rows.withColumn("row", F.xxhash64("html"))), "templates")
+    parts = ["token", "class", "rank", "parent", "gap"]
+    templates = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", F.col("rank").cast("long").alias("rank"), F.coalesce("parent", F.lit(0)).alias("parent"), F.coalesce("gap", F.lit(-1)).cast("long").alias("gap"))).alias("t"))
+    templates = templates.select("host", *(F.col(f"t.{p}").alias(p) for p in parts))
+    if found.count() <= BROADCAST_TOKENS:  # forty bytes a token and the hosts' names
         templates = F.broadcast(templates)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     whole = ("bigint", "int", "smallint", "tinyint")
-    joined = rows.join(templates, "host", "left").select(F.col("_key").cast("string") if kinds["_key"] in whole else F.col("_key"), "_url", "host", "html", "template")
+    joined = rows.join(templates, "host", "left").select(F.col("_key").cast("string") if kinds["_key"] in whole else F.col("_key"), "_url", "host", "html", *parts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, frozenset] = {}
+        held: dict[str, tuple[dict, dict]] = {}
+        known: dict = {}
         for batch in batches:
             texts = []
-            for host, page, template in zip(batch["host"], batch["html"], batch["template"]):
+            for host, page, *template in zip(batch["host"], batch["html"], *(batch[p] for p in parts)):
                 if host not in held:
                     if len(held) > 1000:
                         held.clear()
-                    held[host] = frozenset(() if template is None else np.asarray(template).tolist())
-                texts.append(extract(page, held[host]))
+                    columns = [() if template[0] is None else np.asarray(x).tolist() for x in template]
+                    token, name, rank, parent, gap = columns
+                    held[host] = dict(zip(token, zip(name, rank))), {c: (p, g) for c, p, g in zip(name, parent, gap) if g >= 0}
+                if len(known) > HELD_TOKENS:
+                    known.clear()
+                texts.append(extract(page, *held[host], known))
             yield pd.DataFrame({"_key": batch["_key"], "_url": batch["_url"], "text": texts})
 
     out = joined.mapInPandas(run, f"_key {'string' if kinds['_key'] in whole else kinds['_key']}, _url {kinds['_url']}, text string")
