@@ -3,10 +3,12 @@ clashing column names, against brute force."""
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webweft.llm import html_text, jaccard_join, line_dedup, mixing, packing, queries, sharding, toxicity
@@ -519,6 +521,32 @@ def test_deduction_against_brute_force(spark):
     assert any(own[0] in text for _, _, text in parts) and len({(c, g) for c, g, _ in parts}) >= 3
 
 
+def test_texts_of_a_batch_stay_in_arrow():
+    texts = [" ".join(f"слово{(i * 31 + k * k) % 9973}" for k in range(300)) for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"_row": [str(i) for i in range(len(texts))], "_hash": list(range(len(texts))), "_text": texts})
+    assert batch.nbytes > 10_000_000
+    sets = jaccard_join.shingle_sets(texts)
+    assert all((a == b).all() for a, b in zip(sets, jaccard_join.shingle_sets([t.encode() for t in texts])))
+    rows = [r for out in jaccard_join._digests(iter([batch.slice(0, 0), batch])) for r in out.to_pylist()]
+    assert [(r["_row"], r["n_shingles"], (r["cls"], r["cls2"])) for r in rows] == [(str(i), len(s), jaccard_join._class_of(s)) for i, s in enumerate(sets)]
+    bands, filed = jaccard_join.Bands(), set()
+    for out in jaccard_join._file(80, 3)(iter([batch.slice(0, 0), batch])):
+        for r in out.to_pylist():
+            if r["kind"] in (0, 2):
+                filed.update(zip(*np.frombuffer(r["data"], np.int64).reshape(3 if r["kind"] == 0 else 4, -1)[:2].tolist()))
+    for s in sets[::100]:
+        for band, _ in bands.filings(len(s)):
+            content, size, _ = jaccard_join._contents(s, bands.segments(band))
+            full = np.flatnonzero(size)
+            assert {(k, jaccard_join._class_of(s)[0]) for k in jaccard_join._key(content[full], full, band).view(np.int64).tolist()} <= filed
+    del rows, filed, sets
+    tracemalloc.start()
+    for out in jaccard_join._digests(iter([batch])):
+        del out
+    assert tracemalloc.get_traced_memory()[1] < batch.nbytes  # as Python strings the texts alone take more
+    tracemalloc.stop()
+
+
 def test_pages_with_articles_are_read_by_slots_too(spark):
     own = [[words(12, 300 + 3 * i + k) for k in range(3)] for i in range(12)]
     rows = [(i, f"http://art.example/{i}", f"<body><div>Daily news of the town</div><article><h1>{a}</h1><p>{b}</p></article><div>{c}</div><p>All rights reserved</p></body>") for i, (a, b, c) in enumerate(own)]

@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,15 +99,16 @@ def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str] | list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles of five words; of a
-    text of fewer words, its whole sequence as one; none of a text without words."""
+    text of fewer words, its whole sequence as one; none of a text without words.
+    Bytes are taken as UTF-8."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):
         chunk, size = [], 0
         while at < len(texts) and (not chunk or size < CHUNK):
-            chunk.append(texts[at].encode("utf-8", "surrogatepass"))
+            chunk.append(texts[at] if isinstance(texts[at], bytes) else texts[at].encode("utf-8", "surrogatepass"))
             size, at = size + len(chunk[-1]) + 1, at + 1
         words, starts = _word_hashes(b" ".join(chunk))
         bounds = np.cumsum([len(c) + 1 for c in chunk])
@@ -234,19 +236,25 @@ def _may_link(percent: int):
     return run
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for whole in batches:
-        for at in range(0, len(whole), CHUNK_ROWS):
-            batch = whole.iloc[at : at + CHUNK_ROWS]
-            sets = shingle_sets(batch["_text"].tolist())
+def _rows_and_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Some rows at a time with the sets of their texts. A batch stays in Arrow's memory,
+    as its texts as Python strings take several times as much."""
+    for at in range(0, batch.num_rows, CHUNK_ROWS):
+        rows = batch.slice(at, CHUNK_ROWS)
+        yield rows, shingle_sets(rows.column("_text").cast(pa.binary()).to_pylist())
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, sets in _rows_and_sets(batch):
             ids = [_class_of(s) if len(s) else (None, None) for s in sets]
-            yield pd.DataFrame(
-                {
-                    "_row": batch["_row"].array, "_hash": batch["_hash"].array, "n_shingles": [len(s) for s in sets],
-                    "cls": pd.array([a for a, _ in ids], "Int64"), "cls2": pd.array([b for _, b in ids], "Int64"),
-                    "sketch": [sketch_of(s) if len(s) else None for s in sets],
-                }
-            )
+            made = {
+                "_row": rows.column("_row"), "_hash": rows.column("_hash"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "cls": pa.array([a for a, _ in ids], pa.int64()), "cls2": pa.array([b for _, b in ids], pa.int64()),
+                "sketch": pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(made)
+        batch = rows = made = None  # before the next is read
 
 
 def _fine(sizes: np.ndarray) -> np.ndarray:
@@ -309,21 +317,20 @@ def _file(percent: int, tasks: int):
     class, a band and how many segments are empty there."""
     bands = Bands(percent)
 
-    def flush(keys: list, classes: list, codes: list, empties: list) -> pd.DataFrame:
-        rows = []
-        if keys:
-            code = np.concatenate(codes)
-            rows = _filed(np.concatenate(keys).view(np.int64), np.concatenate(classes), code, _fine(code // 2), tasks)
+    def flush(held: np.ndarray, empties: list) -> pa.RecordBatch:
+        key, cls, code = held
+        rows = _filed(key, cls, code, _fine(code // 2), tasks) if len(key) else []
         if empties:
             cls, band, count = np.array(empties, np.int64).T
             rows += _packed(3, cls % tasks, cls, band, count)
-        return pd.DataFrame(rows, columns=["task", "kind", "data"])
+        return pa.RecordBatch.from_pylist(rows, pa.schema({"task": pa.int64(), "kind": pa.int32(), "data": pa.binary()}))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, classes, codes, empties, held, seen = [], [], [], [], 0, set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Key, class and code in one buffer: many small arrays that outlive others would scatter a worker's memory.
+        buffer, held, empties, seen = np.empty((3, BUFFER_KEYS), np.int64), 0, [], set()
         for batch in batches:
-            for at in range(0, len(batch), CHUNK_ROWS):
-                for shingles in shingle_sets(batch["_text"].iloc[at : at + CHUNK_ROWS].tolist()):
+            for _, sets in _rows_and_sets(batch):
+                for shingles in sets:
                     if not len(shingles):
                         continue
                     cls = _class_of(shingles)
@@ -334,16 +341,18 @@ def _file(percent: int, tasks: int):
                         segments = bands.segments(band)
                         content, size, _ = _contents(shingles, segments)
                         full = np.flatnonzero(size)
-                        keys.append(_key(content[full], full, band))
-                        classes.append(np.full(len(full), cls[0]))
-                        codes.append(np.full(len(full), 2 * len(shingles) + (band < bands.of(len(shingles)))))
+                        if held and held + len(full) > buffer.shape[1]:
+                            yield flush(buffer[:, :held], empties)
+                            held, empties, seen = 0, [], {cls}
+                        if len(full) > buffer.shape[1]:
+                            buffer = np.empty((3, len(full)), np.int64)
+                        to = buffer[:, held : held + len(full)]
+                        to[0], to[1], to[2] = _key(content[full], full, band).view(np.int64), cls[0], 2 * len(shingles) + (band < bands.of(len(shingles)))
                         held += len(full)
                         if len(full) < segments:
                             empties.append((cls[0], band, segments - len(full)))
-                if held > BUFFER_KEYS:
-                    yield flush(keys, classes, codes, empties)
-                    keys, classes, codes, empties, held, seen = [], [], [], [], 0, set()
-        yield flush(keys, classes, codes, empties)
+            batch = None  # before the next is read
+        yield flush(buffer[:, :held], empties)
 
     return run
 
@@ -680,7 +689,7 @@ def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, perc
     total, largest = classes.agg(F.sum("n"), F.max("n")).first()
     join = _Join(texts, known, classes, percent)
     tasks = max(1, math.ceil((total or 0) * 0.45 / TASK_KEYS))
-    filed = texts.select("_text").mapInPandas(_file(percent, tasks), "task long, kind int, data binary")
+    filed = texts.select("_text").mapInArrow(_file(percent, tasks), "task long, kind int, data binary")
     met = materialize(filed.groupBy("task").applyInPandas(_meet, "kind int, key long, cls long, code long, leader long"), "jaccard-met")
 
     # First links: of each class to those that stand for its keys. They make most of every group one component.
@@ -752,7 +761,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """
     rows = docs.select(F.col(key).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    known = rows.withColumn("_row", F.col("_row").cast("string")).mapInPandas(_digests, "_row string, _hash long, n_shingles long, cls long, cls2 long, sketch binary")
+    known = rows.withColumn("_row", F.col("_row").cast("string")).mapInArrow(_digests, "_row string, _hash long, n_shingles long, cls long, cls2 long, sketch binary")
     known = materialize(known.withColumn("_row", F.col("_row").cast(kind)), "jaccard-sets")
     classes = known.where("cls is not null").groupBy("cls", "cls2").agg(F.max("n_shingles").alias("n"), F.min(F.struct(F.col("_row").isNull().alias("no"), "_row", "_hash")).alias("r"))
     classes = materialize(classes.select("cls", "cls2", "n", F.col("r._row").alias("row"), F.col("r._hash").alias("hash")), "jaccard-classes")
