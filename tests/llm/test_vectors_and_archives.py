@@ -92,6 +92,28 @@ def test_doubtful_cosines_are_decided_in_one_order():
         assert here[0, 1] == here[1, 0] == embedding_dedup.linked(rows[:2], threshold)[0, 1]
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.25, 2.0])
+@pytest.mark.parametrize("own", [0, 150])
+def test_pairs_of_a_block_and_the_one_before(spread, own):
+    """Few pairs, many, and nearly all: those with a place from ``own`` on, each once, and what they unite."""
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((20, 24))[rng.integers(0, 20, 400) if spread > 0.1 else np.zeros(400, int)]
+    rows = (rows + rng.standard_normal(rows.shape) * 0.5 * spread) * 10.0 ** rng.integers(-30, 30, (400, 1))
+    i, j = embedding_dedup.linked_pairs(rows, 0.98, own)
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    wanted = {(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1))) if b >= own}
+    assert len(i) == len(wanted) and set(zip(i.tolist(), j.tolist())) == wanted
+    assert spread > 0.1 or len(i) > embedding_dedup.PAIRS  # cosines of all at once
+    least = list(range(400))
+    for _ in least:
+        for a, b in wanted:
+            least[a] = least[b] = min(least[a], least[b])
+        if all(least[a] == least[b] for a, b in wanted):
+            break
+    assert embedding_dedup._local_roots(400, i, j).tolist() == least
+
+
 def test_near_duplicates_of_nothing(spark):
     assert embedding_dedup.near_duplicates(vectors_of(spark, [])).count() == 0
 

@@ -37,6 +37,8 @@ CROWDED = 0.02
 BLOCK = 2048
 #: Cosines this near to the threshold are decided by exactly rounded sums.
 DOUBT = 1e-9
+#: Pairs of a block up to which cosines are taken one by one, and not of all.
+PAIRS = 16_384
 SEED = 20_240_501
 
 
@@ -83,34 +85,50 @@ def _hash_rows(passes: int, with_vector: bool = True):
     return run
 
 
-def linked(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Which vectors have a cosine of at least ``threshold``; the last bits of a matrix
-    product depend on its shape, so doubtful cosines are taken again in one order."""
+def linked_pairs(vectors: np.ndarray, threshold: float, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the vectors, j from ``own`` on, that have a cosine of at least
+    ``threshold``; the last bits of a matrix product depend on its shape, so doubtful
+    cosines are taken again in one order. Single precision rules most pairs out first."""
     rows = unit(vectors)
-    cosines = rows @ rows.T
-    out = cosines >= threshold
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(np.abs(cosines - threshold) < DOUBT, 1)))):
-        a, b = vectors[i] / np.abs(vectors[i]).max(), vectors[j] / np.abs(vectors[j]).max()
-        exact = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
-        out[i, j] = out[j, i] = exact >= threshold
+    rough = rows.astype(np.float32)
+    off = (rows.shape[1] + 8) * 2.0**-23  # more than rounding to single precision takes from a cosine
+    j, i = np.nonzero(rough[own:] @ rough.T >= np.float32(threshold - off))
+    j += own
+    i, j = i[i < j], j[i < j]
+    cosines = np.einsum("ij,ij->i", rows[i], rows[j]) if len(i) <= PAIRS else (rows[own:] @ rows.T)[j - own, i]
+    hit = cosines >= threshold
+    for k in np.flatnonzero(np.abs(cosines - threshold) < DOUBT).tolist():
+        a, b = (vectors[p[k]] / np.abs(vectors[p[k]]).max() for p in (i, j))
+        hit[k] = math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b)) >= threshold
+    return i[hit], j[hit]
+
+
+def linked(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors have a cosine of at least ``threshold``, themselves included."""
+    i, j = linked_pairs(vectors, threshold)
+    out = np.eye(len(vectors), dtype=bool)
+    out[i, j] = out[j, i] = True
     return out
 
 
-def _local_roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each position of a symmetric boolean matrix."""
-    root = np.arange(len(linked))
+def _local_roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest place reachable from each of ``count`` places over the pairs ``i, j``."""
+    root = np.arange(count)
     while True:
-        reach = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        least = np.minimum(root[i], root[j])
+        reach = root.copy()
+        for ends in (i, j, root[i], root[j]):
+            np.minimum.at(reach, ends, least)
         reach = reach[reach]
         if (reach == root).all():
             return root
         root = reach
 
 
-def _united(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Edges that connect what the rows' links connect."""
+def _united(rows: pd.DataFrame, threshold: float, own: int = 0) -> pd.DataFrame:
+    """Edges that connect what the links of the rows from ``own`` on connect."""
     nodes = rows["node"].to_numpy()
-    root = _local_roots(linked(matrix(rows["vector"]), threshold))
+    root = _local_roots(len(nodes), *linked_pairs(matrix(rows["vector"]), threshold, own))
     moved = root != np.arange(len(root))
     return pd.DataFrame({"a": nodes[root[moved]], "b": nodes[moved]})
 
@@ -121,7 +139,8 @@ def _window_edges(threshold: float, window: int):
     held_columns = ["pass", "label", "dim", "node", "vector"]
 
     def pairs(own: pd.DataFrame, before: pd.DataFrame | None) -> pd.DataFrame:
-        found = _united(own if before is None else pd.concat([before, own], ignore_index=True), threshold)
+        # The block before has been compared in itself.
+        found = _united(own, threshold) if before is None else _united(pd.concat([before, own], ignore_index=True), threshold, len(before))
         return found.assign(**dict.fromkeys(["edge", *held_columns]))
 
     def at_edge(rows: pd.DataFrame, edge: int) -> pd.DataFrame:
