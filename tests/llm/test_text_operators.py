@@ -3,14 +3,18 @@ clashing column names, against brute force."""
 
 import hashlib
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from webweft import runtime
 from webweft.llm import html_text, jaccard_join, line_dedup, mixing, packing, queries, sharding, toxicity
 from webweft.llm.components import components
 
@@ -547,6 +551,69 @@ def test_texts_of_a_batch_stay_in_arrow():
     tracemalloc.stop()
 
 
+def test_jaccard_join_takes_small_batches_and_no_second_pool(spark, monkeypatch):
+    texts = [" ".join(f"w{(i // 2 * 31 + k * k) % 9973}" for k in range(300)) for i in range(6000)]
+    docs = spark.createDataFrame(pa.table({"doc_id": range(len(texts)), "text": texts})).coalesce(1)
+    real, most = jaccard_join._digests, 2 * runtime.BATCH
+
+    def digests(batches):
+        def checked():
+            for batch in batches:
+                assert batch.nbytes < most
+                yield batch
+
+        yield from real(checked())
+
+    def refused(*_, **__):
+        raise AssertionError("rows of a list pass through Python workers of their own")
+
+    monkeypatch.setattr(jaccard_join, "_digests", digests)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    before = spark.conf.get(runtime._BATCH_BYTES)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+    assert spark.conf.get(runtime._BATCH_BYTES) == before and runtime._BATCH_BYTES not in spark.conf.getAll
+    spark.conf.set(runtime._BATCH_BYTES, "777777")
+    try:
+        with runtime.small_batches(spark):
+            assert spark.conf.get(runtime._BATCH_BYTES) == "777777"
+        assert spark.conf.get(runtime._BATCH_BYTES) == "777777"
+    finally:
+        spark.conf.unset(runtime._BATCH_BYTES)
+
+
+GIVING_BACK = """
+import numpy as np
+from webweft import runtime
+
+def held():
+    return next(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Anonymous:")) // 1024
+
+def scattered(frame):
+    kept = [(np.ones(12_500), np.ones(1_500)) for _ in range(2000)]  # too small to be mapped alone, and parted by what stays
+    small = [b for _, b in kept]
+    del kept
+    between.append(held())
+    return small
+
+between = []
+small = runtime.lean(scattered)(None)
+print(len(small), between[0] - held())
+"""
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    root = Path(runtime.__file__).parent.parent
+    count, given = subprocess.run([sys.executable, "-c", GIVING_BACK], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(count) == 2000 and int(given) > 100
+    calls = []
+    monkeypatch.setattr(jaccard_join, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"_row": ["1"], "_hash": [1], "_text": ["a b c d e f"]})
+    for run in (jaccard_join._digests, jaccard_join._file(80, 1)):
+        list(run(iter([batch])))
+    assert len(calls) == 2
+
+
 def test_pages_with_articles_are_read_by_slots_too(spark):
     own = [[words(12, 300 + 3 * i + k) for k in range(3)] for i in range(12)]
     rows = [(i, f"http://art.example/{i}", f"<body><div>Daily news of the town</div><article><h1>{a}</h1><p>{b}</p></article><div>{c}</div><p>All rights reserved</p></body>") for i, (a, b, c) in enumerate(own)]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webweft.llm.components import components
-from webweft.runtime import materialize
+from webweft.runtime import give_back, lean, local_table, materialize, small_batches
 
 WORDS = 5
 PERCENT = 80
@@ -232,6 +232,8 @@ def _may_link(percent: int):
                 apart = int(np.bitwise_count(_folded(one, words) ^ _folded(two, words)).sum())
                 keep[i] = 100 * min(n, m) >= percent * max(n, m) and apart <= bands.differ(n, m)
             yield batch.loc[keep, ["a", "b"]]
+            batch = None  # before the next is read
+        give_back()
 
     return run
 
@@ -255,6 +257,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
             yield pa.RecordBatch.from_pydict(made)
         batch = rows = made = None  # before the next is read
+    give_back()
 
 
 def _fine(sizes: np.ndarray) -> np.ndarray:
@@ -353,6 +356,8 @@ def _file(percent: int, tasks: int):
                             empties.append((cls[0], band, segments - len(full)))
             batch = None  # before the next is read
         yield flush(buffer[:, :held], empties)
+        buffer = to = empties = seen = None
+        give_back()
 
     return run
 
@@ -460,6 +465,8 @@ def _widen(percent: int, tasks: int):
                     yield flush(keys, classes, codes, stuck)
                     keys, classes, codes, stuck, held = [], [], [], [], 0
         yield flush(keys, classes, codes, stuck)
+        keys = classes = codes = stuck = None
+        give_back()
 
     return run
 
@@ -515,6 +522,8 @@ def _verify(percent: int):
     def run(docs: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         sets = _sets_of(docs)
         hit = [(a, b) for a, b in zip(pairs["a"], pairs["b"]) if a in sets and b in sets and _linked(percent, sets[a], sets[b])]
+        sets = None
+        give_back()
         return pd.DataFrame(hit, columns=["a", "b"], dtype="int64")
 
     return run
@@ -655,7 +664,7 @@ class _Join:
         the classes that sketches leave in doubt."""
         members = materialize(members, "jaccard-members")
         if members.isEmpty():
-            return self.spark.createDataFrame([], "a long, b long")
+            return local_table(self.spark, [], "a long, b long")
         least = members.groupBy("key").agg(F.min("cls").alias("_least"))
         edges = members.join(least, "key").where("cls <> _least").select(F.col("cls").alias("a"), F.col("_least").alias("b"))
         crowds = materialize(components(edges, "a", "b").select(F.col("node").alias("cls"), F.col("component").alias("crowd")), "jaccard-crowds")
@@ -677,9 +686,9 @@ class _Join:
             .unionByName(beside(-1).withColumns({"step_a": s - 1, "step_b": s, "block_a": o, "block_b": b}))
         ).drop("other")
         schema = "crowd long, step_a int, step_b int, block_a int, block_b int, cls long, part long, step int, block int"
-        doubt = materialize(compared.groupBy(*_BLOCK_KEY).applyInPandas(_doubtful(self.percent), schema), "jaccard-doubt")
+        doubt = materialize(compared.groupBy(*_BLOCK_KEY).applyInPandas(lean(_doubtful(self.percent)), schema), "jaccard-doubt")
         texts = materialize(self.texts_of(doubt), "jaccard-crowd-texts")
-        return doubt.join(texts, "cls").groupBy(*_BLOCK_KEY).applyInPandas(_verify_block(self.percent), "a long, b long")
+        return doubt.join(texts, "cls").groupBy(*_BLOCK_KEY).applyInPandas(lean(_verify_block(self.percent)), "a long, b long")
 
 
 def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -690,7 +699,7 @@ def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, perc
     join = _Join(texts, known, classes, percent)
     tasks = max(1, math.ceil((total or 0) * 0.45 / TASK_KEYS))
     filed = texts.select("_text").mapInArrow(_file(percent, tasks), "task long, kind int, data binary")
-    met = materialize(filed.groupBy("task").applyInPandas(_meet, "kind int, key long, cls long, code long, leader long"), "jaccard-met")
+    met = materialize(filed.groupBy("task").applyInPandas(lean(_meet), "kind int, key long, cls long, code long, leader long"), "jaccard-met")
 
     # First links: of each class to those that stand for its keys. They make most of every group one component.
     entries = met.where("kind = 0").select("key", "cls", "code", "leader")
@@ -704,7 +713,7 @@ def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, perc
     keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     held = placed.join(keys.select("key", "members"), "key")
     few = held.where(F.col("members") <= KEY_PAIRS).withColumn("task", F.expr(f"pmod(xxhash64(key), {tasks})"))
-    pairs = few.groupBy("task").applyInPandas(_close(percent), "a long, b long").distinct()
+    pairs = few.groupBy("task").applyInPandas(lean(_close(percent)), "a long, b long").distinct()
 
     # Classes whose common and empty segments may leave them without a rare one in common with a partner.
     band = Bands(percent).filed_in
@@ -716,7 +725,7 @@ def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, perc
     common = held.where(F.col("members") > KEY_PAIRS).select("cls", band_of("code").alias("band"), "key", F.lit(1).cast("long").alias("count"))
     empty = met.where("kind = 3").select("cls", F.col("key").cast("int").alias("band"), F.lit(None).cast("long").alias("key"), F.col("code").alias("count")).distinct()
     useless = common.unionByName(empty).groupBy("cls", "band").agg(F.sum("count").alias("count"), F.collect_list("key").alias("common"))
-    needs = classes.sparkSession.createDataFrame(_needs(largest or 1, percent), "band int, low int, high int, segments int, cap int, factor int")
+    needs = local_table(classes.sparkSession, _needs(largest or 1, percent), "band int, low int, high int, segments int, cap int, factor int")
     unsure = useless.join(classes.select("cls", F.col("n").cast("int").alias("n")), "cls").join(F.broadcast(needs), "band")
     differ = F.expr(f"cast(floor({100 - percent} * (n + least(floor(factor * n / 100), cap)) / {100 + percent}) as int)")
     unsure = unsure.where((F.col("n") >= F.col("low")) & (F.col("n") < F.col("high")) & (F.col("segments") - F.col("count") <= differ))
@@ -724,7 +733,7 @@ def similar_classes(texts: DataFrame, known: DataFrame, classes: DataFrame, perc
     if unsure.isEmpty():  # rare keys are enough for all
         return first.unionByName(join.links(materialize(pairs, "jaccard-close"), "close"))
     widened = unsure.join(join.texts_of(unsure), "cls").select("cls", "band", "common", "_text").mapInPandas(_widen(percent, tasks), "task long, kind int, data binary")
-    widened = materialize(widened.groupBy("task").applyInPandas(_meet_widened, "kind int, a long, b long"), "jaccard-widened")
+    widened = materialize(widened.groupBy("task").applyInPandas(lean(_meet_widened), "kind int, a long, b long"), "jaccard-widened")
 
     part_a, part_b = (found.select(F.col("cls").alias(c), F.col("part").alias(f"part_{c}")) for c in "ab")
     more = widened.where("kind = 0").select("a", "b").join(part_a, "a", "left").join(part_b, "b", "left").where("coalesce(part_a, a) <> coalesce(part_b, b)").select("a", "b")
@@ -758,14 +767,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     is compared like any other. A null key is not smaller than any other; a component
     of null keys alone has a null id. Rows with equal keys are documents of their
     own. Other columns are ignored, whatever their names; an empty table gives no rows.
+    While it runs, the session hands smaller batches to Python (``small_batches``).
     """
     rows = docs.select(F.col(key).alias("_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    known = rows.withColumn("_row", F.col("_row").cast("string")).mapInArrow(_digests, "_row string, _hash long, n_shingles long, cls long, cls2 long, sketch binary")
-    known = materialize(known.withColumn("_row", F.col("_row").cast(kind)), "jaccard-sets")
-    classes = known.where("cls is not null").groupBy("cls", "cls2").agg(F.max("n_shingles").alias("n"), F.min(F.struct(F.col("_row").isNull().alias("no"), "_row", "_hash")).alias("r"))
-    classes = materialize(classes.select("cls", "cls2", "n", F.col("r._row").alias("row"), F.col("r._hash").alias("hash")), "jaccard-classes")
-    links = materialize(similar_classes(rows, known, classes, percent), "jaccard-links")
+    with small_batches(docs.sparkSession):
+        known = rows.withColumn("_row", F.col("_row").cast("string")).mapInArrow(_digests, "_row string, _hash long, n_shingles long, cls long, cls2 long, sketch binary")
+        known = materialize(known.withColumn("_row", F.col("_row").cast(kind)), "jaccard-sets")
+        classes = known.where("cls is not null").groupBy("cls", "cls2").agg(F.max("n_shingles").alias("n"), F.min(F.struct(F.col("_row").isNull().alias("no"), "_row", "_hash")).alias("r"))
+        classes = materialize(classes.select("cls", "cls2", "n", F.col("r._row").alias("row"), F.col("r._hash").alias("hash")), "jaccard-classes")
+        links = materialize(similar_classes(rows, known, classes, percent), "jaccard-links")
     found = components(links, "a", "b")
     named = classes.join(found, classes["cls"] == found["node"], "left").select("cls", "cls2", "row", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("row").alias("_least"))

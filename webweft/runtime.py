@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch on its way to a Python worker, about.
+BATCH = 1 << 21
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -72,6 +84,56 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand rows to Python in batches of about ``BATCH`` bytes, which bounds
+    the buffers that an executor fills outside its heap and those of its workers. A
+    setting of the session itself is left as it is."""
+    if _BATCH_BYTES in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(_BATCH_BYTES, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES)
+
+
+@functools.lru_cache(maxsize=1)
+def _malloc_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return None
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed: a Python worker outlives its
+    tasks, and would keep the most that one of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+def lean(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``run``, a function of a group, giving back each time what it has freed."""
+
+    def leaner(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(frame)
+        finally:
+            give_back()
+
+    return leaner
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows`` as part of the plan. Those that createDataFrame takes from a list pass
+    through Python workers of a pool of their own on every executor."""
+    kinds = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, row)) for row in rows], to_arrow_schema(kinds)), kinds)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once for each application."""
     sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
